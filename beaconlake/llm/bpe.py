@@ -38,7 +38,7 @@ LONG = 256
 #: Characters of text that are encoded at once, at least one text; words in one recursive query; units and words remembered.
 BLOCK_CHARS = 4_000_000
 BLOCK_WORDS = 50_000
-MOST_UNITS = 300_000
+MOST_UNITS = 500_000
 MOST_WORDS = 600_000
 #: Tokens that are decoded at once, at least one text's.
 BLOCK_TOKENS = 1_000_000
@@ -69,13 +69,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The pieces flat[start : start + length], one after the other."""
     before = np.cumsum(length) - length
     return flat[np.repeat(start - before, length) + np.arange(int(length.sum()))]
 
 
-class _Ragged:
+class Ragged:
     """Arrays of ids under numbers, in one growing buffer."""
 
     def __init__(self) -> None:
@@ -94,10 +94,10 @@ class _Ragged:
         self.used, self.n = self.used + len(ids), self.n + len(lengths)
 
     def get(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _gather(self.flat, self.start[which], self.length[which]), self.length[which]
+        return gather(self.flat, self.start[which], self.length[which]), self.length[which]
 
 
-class _Numbered(dict):
+class Numbered(dict):
     """Numbers for strings, in the order in which they are first asked for."""
 
     def __init__(self, fresh: list[str], first: int) -> None:
@@ -136,10 +136,10 @@ class Codec:
 
     def forget(self, words: bool = True) -> None:
         if words:
-            self.words, self.word_ids = {}, _Ragged()
-        self.unit_ids = _Ragged()
+            self.words, self.word_ids = {}, Ragged()
+        self.unit_ids = Ragged()
         self.fresh: list[str] = []
-        self.units = _Numbered(self.fresh, 0)
+        self.units = Numbered(self.fresh, 0)
 
     def _table(self, name: str, **columns: np.ndarray) -> None:
         self.db.register(name, pa.table(columns))
@@ -271,7 +271,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, first = 0, 0
         for i, n in enumerate(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
@@ -289,7 +289,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for part in _blocks(batches):
+        for part in blocks(batches):
             ids, counts = coder.encode([t or "" for t in part.column("text").to_pylist()])
             bounds = np.concatenate([[0], np.cumsum(counts)])
             raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")

@@ -112,3 +112,20 @@ def words_of(text: Column) -> Column:
 
 def n_words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+def open_shared(path: str, mode: str):
+    """A binary file of the shared folder, from a Python worker: local and mounted folders, and what pyarrow reaches."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return open(path, mode)
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_output_stream(at) if "w" in mode else store.open_input_file(at)
