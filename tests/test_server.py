@@ -1,0 +1,294 @@
+import json
+import threading
+import time
+import urllib.error
+import urllib.request
+from dataclasses import replace
+from datetime import datetime, timedelta
+
+import pytest
+
+from beaconlake.plans import params, schema
+from beaconlake.plans.model import ApiError
+from beaconlake.server import cli, log, protobuf
+from beaconlake.server.adapters import number, trace_json
+from beaconlake.server.config import Config, ConfigError, load
+from beaconlake.server.guard import CHEAP, HEAVY, Admission, check_key, timed
+from beaconlake.server.http import App, Server, body_params
+from beaconlake.server.metrics import Metrics
+from beaconlake.sources.catalogs import CatalogError, CatalogSettings, CatalogTables, attach, hadoop_path, object_store, plan, region
+from beaconlake.sources.tables import DictTables
+
+KEY = {"authorization": "Bearer dev-beaconlake-key"}
+ADMIN = {"x-api-key": "dev-beaconlake-admin-key"}
+EPOCH = datetime(1970, 1, 1)
+
+
+def made(spark, table, rows):
+    names = [f.name for f in schema.SCHEMAS[table].fields]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema.SCHEMAS[table])
+
+
+@pytest.fixture(scope="module")
+def app(spark):
+    now = params.now().replace(microsecond=123456)
+    payment = {
+        "time_unix_nano": now, "start_time_unix_nano": now, "name": "demo.payment.transactions", "unit": "1", "int_value": 7, "service_name": "payment",
+        "resource_attributes": '{"deployment.environment":"demo"}', "metric_attributes": "{}", "aggregation_temporality": 2, "is_monotonic": True,
+    }
+    logs = [
+        {"time_unix_nano": now - timedelta(seconds=i), "service_name": s, "body": b}
+        for i, (s, b) in enumerate([("a", "one"), ("b", "two"), ("a", "three"), (None, None)])
+    ]
+    spans = [{
+        "start_time_unix_nano": now, "duration_time_unix_nano": 2_500_000, "trace_id": "ABCDEF0123456789", "span_id": "00000000000000AA", "name": "go",
+        "service_name": "a", "status_code": 2, "kind": 3, "span_attributes": '{"http.request.method":"GET","http.response.status_code":500}',
+    }]
+    tables = DictTables(spark, **{schema.SUM: made(spark, schema.SUM, [payment]), schema.LOGS: made(spark, schema.LOGS, logs), schema.SPANS: made(spark, schema.SPANS, spans)})
+    out = App(spark, Config(query_timeout_secs=120).check(), tables)
+    out.now = now
+    return out
+
+
+def get(app, target, headers=KEY, status=200, method="GET", body=b""):
+    answer = app.handle(method, target, headers, body)
+    assert answer.status == status, answer.body
+    return json.loads(answer.body)
+
+
+def test_discovery_from_points(app):
+    assert get(app, "/api/v1/label/__name__/values")["data"] == ["demo.payment.transactions"]
+    assert get(app, "/api/v1/series")["data"] == [{"__name__": "demo.payment.transactions", "deployment_environment": "demo", "service_name": "payment"}]
+    assert get(app, "/api/v1/labels")["data"] == ["__name__", "service_name", "deployment_environment"]
+    assert get(app, "/api/v1/label/nothing/values")["data"] == []
+    assert get(app, "/api/v1/metadata")["data"] == {}
+
+
+def test_instant_query(app):
+    at = int((app.now - EPOCH).total_seconds()) + 1
+    got = get(app, f"/api/v1/query?query=sum%20by%20(service_name)%20(demo.payment.transactions)&time={at}")["data"]
+    assert got == {"resultType": "vector", "result": [{"metric": {"__name__": "demo.payment.transactions", "service_name": "payment"}, "value": [at, "7"]}]}
+    form = get(app, "/api/v1/query", KEY | {"content-type": "application/x-www-form-urlencoded"}, method="POST", body=f"query=1%2B1&time={at}".encode())
+    assert form["data"]["result"] == [{"metric": {}, "value": [at, "2"]}]
+    assert get(app, f"/api/v1/query?query=none&time={at}")["data"]["result"] == []
+
+
+def test_range_query(app):
+    at = int((app.now - EPOCH).total_seconds())
+    got = get(app, f"/api/v1/query_range?query=demo.payment.transactions&start={at - 100}&end={at + 100}&step=10")["data"]
+    assert got["resultType"] == "matrix" and got["result"][0]["metric"]["service_name"] == "payment"
+    assert got["result"][0]["values"] == [[at // 10 * 10, "7"]]
+
+
+def test_logs(app):
+    end = int((app.now - EPOCH).total_seconds()) + 10
+    got = get(app, f"/loki/api/v1/query_range?query=%7B%7D&end={end}")["data"]
+    assert got["resultType"] == "streams"
+    streams = {s["stream"].get("service_name"): [v[1] for v in s["values"]] for s in got["result"]}
+    assert streams == {"a": ["one", "three"], "b": ["two"], None: [""]}
+    first = next(v for s in got["result"] for v in s["values"] if v[1] == "one")
+    assert first[0] == str((app.now - EPOCH) // timedelta(microseconds=1) * 1000)
+    ahead = get(app, f"/loki/api/v1/query?query=%7Bservice_name%3D%22a%22%7D&end={end}&direction=forward&limit=1")["data"]["result"]
+    assert [v[1] for s in ahead for v in s["values"]] == ["three"]
+    assert len(get(app, "/loki/api/v1/labels")["data"]) == 11
+    assert get(app, "/loki/api/v1/label/service_name/values")["data"] == [] and get(app, "/loki/api/v1/series")["data"] == []
+
+
+def test_traces(app):
+    found = get(app, "/api/search?q=%7Bstatus%3D2%7D")
+    assert found["traces"][0]["traceID"] == "abcdef0123456789" and found["traces"][0]["durationMs"] == 2 and found["metrics"]["inspectedTraces"] == 1
+    got = get(app, "/api/traces/ABCDEF0123456789", KEY | {"accept": "application/json"})
+    span = got["batches"][0]["instrumentationLibrarySpans"][0]["spans"][0]
+    assert span["status"] == {"code": 2} and int(span["endTimeUnixNano"]) - int(span["startTimeUnixNano"]) == 2_500_000
+    assert span["attributes"][2] == {"key": "http.response.status_code", "value": {"intValue": "500"}}
+    raw = app.handle("GET", "/api/v2/traces/ABCDEF0123456789", KEY)
+    assert raw.kind == "application/protobuf" and bytes.fromhex("abcdef0123456789") in raw.body and b"http.request.method" in raw.body
+    assert get(app, "/api/traces/" + "0" * 32, KEY | {"accept": "application/json"})["batches"][0]["instrumentationLibrarySpans"] == [{"spans": []}]
+    assert "service.name" in get(app, "/api/search/tags")["tagNames"] and get(app, "/api/v2/search/tag/duration/values") == {"tagValues": []}
+
+
+def test_failures(app):
+    for target, status, reason in (
+        ("/api/v1/query", 400, "missing_parameter"), ("/api/v1/query?query=a%2Bb", 400, "unsupported_promql"),
+        ("/api/v1/query_range?query=m&start=1&end=9999999", 400, "range_too_large"), ("/api/v1/query_range?query=m&start=1&end=9&step=1m", 400, "invalid_step"),
+        ("/loki/api/v1/query?query=%7B", 400, "invalid_selector"), ("/loki/api/v1/query?query=%7B%7D&limit=5000", 400, "limit_too_large"),
+        ("/api/traces/xyz", 400, "invalid_trace_id"), ("/api/search?start=5&end=4", 400, "invalid_time_range"),
+    ):
+        got = get(app, target, status=status)
+        assert got["status"] == "error" and got["errorType"] == reason
+    assert get(app, "/api/v1/labels", {}, 401)["errorType"] == "missing_api_key"
+    assert get(app, "/api/v1/labels", ADMIN, 403)["errorType"] == "bad_api_key"
+    for method, target in (("POST", "/v1/logs"), ("GET", "/"), ("POST", "/loki/api/v1/query"), ("GET", "/api/v1/label//values")):
+        assert get(app, target, status=404, method=method)["error"] == "not_found"
+
+
+def test_operator_routes(app):
+    assert get(app, "/healthz", {}) == {"status": "ok", "storage": {"healthy": True, "last_error": None}}
+    assert get(app, "/api/status/buildinfo")["version"]
+    assert get(app, "/api/admin/health/storage", KEY, 403)["error"] == "bad_api_key"
+    health = get(app, "/api/admin/health/storage", ADMIN)
+    assert health["logical_rows"][schema.LOGS] == 4 and health["freshness_watermarks"][schema.GAUGE]["timestamp"] is None
+    assert get(app, "/api/admin/health/queries", ADMIN)["admission"]["heavy"] == {"capacity": 3, "in_use": 0}
+    text = app.handle("GET", "/metrics", {}).body.decode()
+    assert 'beaconlake_storage_logical_rows{storage_signal="otlp_logs"} 4' in text and "beaconlake_query_requests_total{" in text
+
+
+def test_not_ready(spark):
+    class Broken(DictTables):
+        def table(self, name):
+            raise RuntimeError("gone")
+
+    broken = App(spark, Config().check(), Broken(spark))
+    assert get(broken, "/healthz", {}, 503)["storage"] == {"healthy": False, "last_error": "gone"}
+    assert get(broken, "/loki/api/v1/query?query=%7B%7D", status=503)["errorType"] == "query_storage_unavailable"
+
+
+def test_admission():
+    metrics = Metrics()
+    a = Admission(2, 5, 0.05, metrics)
+    assert a.capacity == {CHEAP: 1, HEAVY: 1}
+    with a.slot(CHEAP), a.slot(HEAVY), pytest.raises(ApiError) as e, a.slot(CHEAP):
+        pass
+    assert (e.value.status, e.value.reason, e.value.retry_after) == (429, "cheap_query_admission_full", 1)
+    with a.slot(CHEAP):
+        assert a.snapshot()["cheap"]["in_use"] == 1
+    assert "admission_rejections_total" in metrics.render()
+
+
+def test_waiting_for_a_slot():
+    a = Admission(2, 1, 5, Metrics())
+    held = threading.Event()
+
+    def hold():
+        with a.slot(HEAVY):
+            held.set()
+            time.sleep(0.2)
+
+    threading.Thread(target=hold).start()
+    held.wait()
+    with a.slot(HEAVY):
+        pass
+
+
+def test_time_limit(spark):
+    from pyspark.sql import functions as F
+
+    began = time.monotonic()
+    with pytest.raises(ApiError) as e:
+        timed(spark, 1, lambda: spark.range(1 << 40).select(F.sum(F.sqrt("id") * F.sin("id"))).collect())
+    assert e.value.reason == "query_timeout" and time.monotonic() - began < 30
+    assert timed(spark, 30, lambda: 5) == 5
+
+
+def test_keys():
+    check_key({"authorization": "bearer k"}, "k")
+    check_key({"x-api-key": "k"}, "k")
+    for headers, expected, status in (({}, "k", 401), ({"x-api-key": "no"}, "k", 403), ({"x-api-key": "k"}, "", 403), ({"authorization": "Basic k"}, "k", 401)):
+        with pytest.raises(ApiError) as e:
+            check_key(headers, expected)
+        assert e.value.status == status
+
+
+def test_values_are_plain_digits():
+    shown = {7.0: "7", 0.1: "0.1", 1e21: "1000000000000000000000", 1e-7: "0.0000001", -2.5: "-2.5", float("inf"): "NaN", float("nan"): "NaN"}
+    assert all(number(v) == s for v, s in shown.items()) and number(None) == "0"
+
+
+def test_protobuf():
+    assert protobuf.varint(300) == b"\xac\x02" and len(protobuf.varint(-1)) == 10
+    row = dict.fromkeys(["trace_id", "span_id", "trace_state", "parent_span_id", "span_name", "span_kind", "duration", "service_name", "http_method", "http_status_code", "http_route", "exception_type", "status_message", "status_code", "deployment_environment", "scope_name", "scope_version"])
+    full = protobuf.span(row | {"span_id": "0a", "duration": -5, "status_code": 9}, 256)
+    start = (256).to_bytes(8, "little")
+    assert full == b"\x12\x01\x0a" + b"\x39" + start + b"\x41" + start + b"\x7a\x00"
+    assert protobuf.trace([]).startswith(b"\x0a") and trace_json([])["batches"]
+    google = pytest.importorskip("google.protobuf")
+    assert google
+
+
+def test_settings(tmp_path):
+    file = tmp_path / "c.toml"
+    file.write_text('bind = "0.0.0.0:80"\n[query]\ntimeout_secs = 3\n[catalog]\npath = "/x"\n')
+    got = load(str(file), {"BEACONLAKE_QUERY_TIMEOUT_SECS": "9"})
+    assert (got.bind, got.query_timeout_secs, got.catalog.catalog_path) == ("0.0.0.0:80", 9, "/x")
+    for env in (
+        {"API_KEY": " "}, {"API_KEY": "k", "ADMIN_API_KEY": "k"}, {"QUERY_CONCURRENCY": "1"}, {"QUERY_TIMEOUT_SECS": "0"}, {"MAX_BODY_BYTES": "x"},
+        {"TLS_ENABLED": "true"}, {"TLS_ENABLED": "maybe"}, {"BIND": "nowhere"}, {"MAX_CONNECTIONS": "0"}, {"CATALOG_ATTACH_URI": "http:x"},
+    ):
+        with pytest.raises(ConfigError):
+            load(None, {"BEACONLAKE_" + k: v for k, v in env.items()})
+    file.write_text("nothing = 1")
+    with pytest.raises(ConfigError, match="unknown"):
+        load(str(file), {})
+
+
+def test_catalog_settings():
+    s = CatalogSettings
+    assert plan(s(), "/d").mode == "local" and plan(s(data_path=" s3://b/x "), "/d").object_store == "s3"
+    assert plan(s(postgres_dsn="postgres://h/d", data_path="gs://b"), "/d").object_store == "gcs"
+    assert plan(s(attach_uri="ducklake:quack:h", token="t", insecure_tls=True), "/d").mode == "custom_uri"
+    assert plan(s(attach_uri="md:x"), "/d").mode == "remote"
+    for bad in (
+        s(postgres_dsn="p", attach_uri="md:x"), s(catalog_path="/c", attach_uri="md:x"), s(attach_uri=""), s(attach_uri="ATTACH 'x'"),
+        s(attach_uri="http://x"), s(attach_uri="ducklake:quack:h"), s(attach_uri="md:x", data_path="/d"), s(insecure_tls=True), s(postgres_dsn=" "),
+    ):
+        with pytest.raises(CatalogError):
+            plan(bad, "/d")
+    assert [object_store(p) for p in ("S3A://b", "gcs://b", "/x", "hdfs://h/x")] == ["s3", "gcs", None, None]
+    assert hadoop_path("s3://b/x") == "s3a://b/x" and hadoop_path("gcs://b/x") == "gs://b/x" and hadoop_path("/x") == "/x"
+    assert region({"AWS_DEFAULT_REGION": "b", "AWS_REGION": " a "}) == "a" and region({}) is None
+
+
+def test_vendor_catalogs_are_refused(spark):
+    with pytest.raises(CatalogError, match="no open connector"):
+        attach(spark, CatalogSettings(attach_uri="md:x"), "/d")
+
+
+def test_tables_of_a_catalog(spark, tmp_path):
+    log = made(spark, schema.LOGS, [{"body": "a", "time_unix_nano": datetime(2024, 1, 1)}])
+    log.coalesce(1).write.parquet(str(tmp_path / "live"))
+    files = [p.name for p in (tmp_path / "live").glob("*.parquet")]
+    metadata = {
+        "ducklake_table": spark.createDataFrame([(1, schema.LOGS, None), (2, schema.SUM, None)], "table_id long, table_name string, end_snapshot long"),
+        "ducklake_data_file": spark.createDataFrame([(1, f"live/{files[0]}", None), (1, "gone.parquet", 5)], "table_id long, path string, end_snapshot long"),
+    }
+    t = CatalogTables(spark, metadata.__getitem__, str(tmp_path))
+    assert [r["body"] for r in t.table(schema.LOGS).collect()] == ["a"] and t.table(schema.SUM).count() == 0
+
+
+def test_body_over_query():
+    assert body_params({"a": "1"}, "application/json; charset=utf-8", b'{"a":2,"b":"x","c":null,"d":true}') == {"a": "2", "b": "x", "d": "true"}
+    assert body_params({"a": "1"}, "", b"a=2+3&c") == {"a": "2 3", "c": ""}
+    assert body_params({"a": "1"}, "application/json", b"[") == {"a": "1"}
+
+
+def test_log_lines():
+    assert log.pair("a", "x y") == 'a="x y"' and log.pair("a", "xy") == "a=xy" and log.pair("a", 'q"') == 'a="q\\""' and log.pair("a", "") == 'a=""'
+
+
+def test_metrics_guard_their_labels():
+    m = Metrics()
+    m.count("http_connection_errors_total", reason='a"b')
+    m.observe("query_duration_seconds", 0.5, route_template="/x")
+    assert 'beaconlake_http_connection_errors_total{reason="a\\"b"} 1' in m.render()
+    assert 'beaconlake_query_duration_seconds_count{route_template="/x"} 1' in m.render()
+    for call in (lambda: m.gauge("http_connection_errors_total", 1), lambda: m.count("http_connection_errors_total", path="x")):
+        with pytest.raises(ValueError, match="labels"):
+            call()
+
+
+def test_over_the_wire(app):
+    app.config = replace(app.config, bind="127.0.0.1:0", max_body_bytes=64)
+    server = Server(app)
+    threading.Thread(target=server.serve_forever, kwargs={"poll_interval": 0.05}, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        assert cli.main(["healthcheck", "--url", base, "--timeout", "60"]) == 0
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(urllib.request.Request(base + "/api/v1/query", data=b"x" * 100, headers={"X-Api-Key": "k"}), timeout=60)
+        assert e.value.code == 413 and json.load(e.value)["error"] == "payload_too_large"
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(urllib.request.Request(base + "/healthz", headers={f"X-{i}": "v" for i in range(200)}), timeout=60)
+        assert e.value.code == 431
+    finally:
+        server.drain()
+    assert cli.main(["healthcheck", "--url", base, "--timeout", "1"]) == 1
