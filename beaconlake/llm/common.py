@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -71,7 +70,6 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(base, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(at)
-    shutil.rmtree(folder, ignore_errors=True) if not os.path.exists(at) else None
     sc._beaconlake_shipped = True
 
 
@@ -80,22 +78,26 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _scans_files(docs: DataFrame) -> bool:
+    """Whether docs is a selection from one scan of files, so that each row has a place of its own in them."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
 def with_locator(docs: DataFrame, name: str = "__loc") -> DataFrame:
     """docs and a struct that names each row for good: the file it comes from and its place there.
 
-    A frame that isn't a plain scan of files is first written to the shared folder.
+    A frame that isn't a plain scan of files is first written to the shared folder. A frame that has the
+    column is left as it is, so that all that is made from it has the same names for its rows.
     """
-    place = F.struct(
-        F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row")
-    ).alias(name)
-    try:
-        out = docs.select("*", place)
-        out.schema  # noqa: B018  resolves the plan
-        return out
-    except Exception as error:
-        if "_metadata" not in str(error):
-            raise
-    return materialize(docs, "located").select("*", place)
+    if name in docs.columns:
+        return docs
+    if not _scans_files(docs):
+        docs = materialize(docs, "located")
+    place = F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.select("*", place.alias(name))
 
 
 def renamed_clashes(docs: DataFrame, names: list[str]) -> DataFrame:

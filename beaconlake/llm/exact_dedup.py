@@ -96,7 +96,7 @@ def _row(doc_id: str) -> Column:
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 256) -> DataFrame:
     """Per row of docs: at (its locator), doc_id, keeper, group_size, sha256."""
     spark = docs.sparkSession
-    located = with_locator(docs.select(*dict.fromkeys([doc_id, text])))
+    located = with_locator(docs).select(*dict.fromkeys([doc_id, text]), "__loc")
     norm = located.select(_row(doc_id).alias("row"), normalised(F.col(text)).alias("norm"))
     folder = scratch(spark, "exact-dedup")
     rows = norm.select(digest("norm", bits).alias("key"), "row", *([] if bits == 256 else [F.sha2("norm", 256).alias("sha256")]))
@@ -138,7 +138,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bi
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
     located = with_locator(docs)
-    gone = grouped(docs, text, doc_id).filter(F.col("at") != F.col("keeper.at")).select("at")
+    gone = grouped(located, text, doc_id).filter(F.col("at") != F.col("keeper.at")).select("at")
     return located.join(gone, located["__loc"] == gone["at"], "left_anti").select(*docs.columns)
 
 

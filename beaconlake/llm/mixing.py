@@ -3,8 +3,9 @@
 Sources share a budget of words by weight. A source whose share is above ``max_epochs`` times its
 size is clamped there, and what it leaves is shared among the others by weight, until none is above.
 Each document is then taken whole as often as its source's target holds whole epochs, and once more
-if its seeded hash is at or below its source's threshold. The threshold is the hash at which the
-running total of words, in order of the hash, comes nearest to the fraction that is left.
+if its seeded hash is at or below its source's threshold. The threshold is the last hash at which the
+running total of words, in order of the hash, is within the fraction that is left; of the documents above
+it, the one that fits best what is missing then is taken, too.
 
 Running totals go by 65,536 ranges of the hash per source first; only the rows of the one range that
 holds the threshold are put in order. So a source with a third of all rows is summed map-side.
@@ -84,7 +85,7 @@ def sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> Da
 
 
 def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Per source: source_size, target, epochs (whole repetitions) and last (the greatest hash taken once more)."""
+    """Per source: source_size, target, epochs (whole repetitions), last (the greatest hash taken once more) and extra (one hash more)."""
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("epochs", F.floor("rate").cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -103,12 +104,20 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
     own = own.groupBy("__of", "__lane", "__left", "__key").agg(F.sum("__size").alias("words"))
     order = Window.partitionBy("__of").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("upto", F.sum("words").over(order))  # about a 65,536th of a source
-    taken = own.filter(F.col("upto") - F.col("words") / 2 <= F.col("__left")).groupBy("__of").agg(F.max("__key").alias("__last"))
+    taken = own.filter("upto <= __left").groupBy("__of").agg(F.max("__key").alias("__last"), F.max("upto").alias("__got"))
     edge = few.join(taken.withColumnRenamed("__of", "__taken"), F.col("__of").eqNullSafe(F.col("__taken")), "left")
-    floor = F.shiftleft(F.col("__lane"), 48) - 1  # no hash of the range: all those below it
-    edge = edge.select("__of", F.coalesce("__last", F.when(F.col("__lane") > -32768, floor)).alias("last"))
+    floor = F.when(F.col("__lane") > -32768, F.shiftleft(F.col("__lane"), 48) - 1)  # no hash of the range: all those below it
+    edge = edge.select("__of", F.coalesce("__last", floor).alias("last"), (F.col("__left") - F.coalesce("__got", F.lit(0))).alias("gap"))
+    edge = materialize(edge, "edges")
+    near = F.broadcast(edge) if found.count() <= BROADCAST_SOURCES else edge
+    # What is missing still is less than the next document; the one of the others that fits it best is taken, too.
+    others = rows.join(near, rows["__source"].eqNullSafe(near["__of"])).filter("last is null or __key > last")
+    best = others.groupBy(F.col("__of").alias("__best")).agg(F.min(F.struct(F.abs(F.col("gap") - F.col("__size")).alias("off"), F.col("__key").alias("key"))).alias("fit"))
+    edge = edge.join(best, F.col("__of").eqNullSafe(F.col("__best")), "left").select(
+        "__of", "last", F.when(F.col("fit.off") < F.col("gap"), F.col("fit.key")).alias("extra")
+    )
     return goal.join(edge, F.col("__source").eqNullSafe(F.col("__of")), "left").select(
-        "__source", "source_size", "target", "epochs", "last"
+        "__source", "source_size", "target", "epochs", "last", "extra"
     )
 
 
@@ -125,7 +134,7 @@ def _plan(
 
 
 def _copies() -> Column:
-    return F.col("epochs") + F.when(F.col("__key") <= F.col("last"), 1).otherwise(0)
+    return F.col("epochs") + F.when((F.col("__key") <= F.col("last")) | (F.col("__key") == F.col("extra")), 1).otherwise(0)
 
 
 def _planned(docs: DataFrame, carry: list[str], text: str, source: str, doc_id: str, seed: int, plan: DataFrame) -> DataFrame:

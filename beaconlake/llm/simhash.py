@@ -69,7 +69,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: row (struct of unnamed, doc_id and at, its locator) and fp."""
     ship(docs.sparkSession)
-    located = with_locator(docs.select(*dict.fromkeys([doc_id, text])))
+    located = with_locator(docs).select(*dict.fromkeys([doc_id, text]), "__loc")
     row = F.struct(
         F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__loc").alias("at")
     )
@@ -141,5 +141,5 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cro
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """Of each component the row with the smallest doc_id, with the columns of docs."""
     located = with_locator(docs)
-    gone = grouped(docs, text, doc_id, crowd).filter(F.col("row") != F.col("first")).select("row.at")
+    gone = grouped(located, text, doc_id, crowd).filter(F.col("row") != F.col("first")).select("row.at")
     return located.join(gone, located["__loc"] == gone["at"], "left_anti").select(*docs.columns)
