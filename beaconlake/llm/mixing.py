@@ -4,8 +4,8 @@ Sources share a budget of words by weight. A source whose share is above ``max_e
 size is clamped there, and what it leaves is shared among the others by weight, until none is above.
 Each document is then taken whole as often as its source's target holds whole epochs, and once more
 if its seeded hash is at or below its source's threshold. The threshold is the last hash at which the
-running total of words, in order of the hash, is within the fraction that is left; of the documents above
-it, the one that fits best what is missing then is taken, too.
+running total of words, in order of the hash, is within the fraction that is left; of the next ``FILLERS``
+documents, each that fits into what is missing then is taken, too, and one more if that comes nearer.
 
 Running totals go by 65,536 ranges of the hash per source first; only the rows of the one range that
 holds the threshold are put in order. So a source with a third of all rows is summed map-side.
@@ -29,6 +29,8 @@ MAX_EPOCHS = 2.0
 SEED = 20_24
 #: Up to so many sources are sent to every executor; more go through a shuffled join.
 BROADCAST_SOURCES = 10_000
+#: Documents after the threshold that are tried for what is missing to the target.
+FILLERS = 256
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -85,37 +87,51 @@ def sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> Da
 
 
 def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Per source: source_size, target, epochs (whole repetitions), last (the greatest hash taken once more) and extra (one hash more)."""
+    """Per source: source_size, target, epochs (whole repetitions), last (the greatest hash taken once more) and extra (further hashes)."""
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("epochs", F.floor("rate").cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goal = materialize(goal, "goals")
     side = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
     lane = F.shiftright("__key", 48)
-    lanes = rows.groupBy("__source", lane.alias("lane")).agg(F.sum("__size").alias("words"))
+    lanes = rows.groupBy("__source", lane.alias("lane")).agg(F.sum("__size").alias("words"), F.count("*").alias("docs"))
     upto = Window.partitionBy("__source").orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)
-    lanes = lanes.withColumn("before", F.sum("words").over(upto) - F.col("words"))  # 65,536 rows a source at most
-    lanes = lanes.withColumnRenamed("__source", "__of")
+    lanes = lanes.select(  # 65,536 rows a source at most
+        F.col("__source").alias("__of"), "lane", "words", (F.sum("words").over(upto) - F.col("words")).alias("before"),
+        (F.sum("docs").over(upto) - F.col("docs")).alias("docs_before"), "docs",
+    )
+    lanes = materialize(lanes, "lanes")
     found = lanes.join(side, lanes["__of"].eqNullSafe(side["__source"])).filter("before <= rest and rest < before + words")
-    found = found.select("__of", "lane", F.col("rest") - F.col("before"))
-    found = materialize(found.toDF("__of", "__lane", "__left"), "lanes")
+    found = found.select(F.col("__of").alias("__at"), F.col("lane").alias("__lane"), (F.col("rest") - F.col("before")).alias("__left"), (F.col("docs_before") + F.col("docs")).alias("__docs"))
+    # The ranges that hold the next FILLERS documents, too.
+    wide = lanes.join(found, lanes["__of"].eqNullSafe(found["__at"])).filter(F.col("docs_before") < F.col("__docs") + FILLERS)
+    found = wide.groupBy("__of", "__lane", "__left").agg(F.max("lane").alias("__upper"))
+    found = materialize(found, "lanes")
     few = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found
     own = rows.join(few, rows["__source"].eqNullSafe(few["__of"]) & (lane == few["__lane"]))
-    own = own.groupBy("__of", "__lane", "__left", "__key").agg(F.sum("__size").alias("words"))
+    own = own.groupBy("__of", "__left", "__key").agg(F.sum("__size").alias("words"))
     order = Window.partitionBy("__of").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("upto", F.sum("words").over(order))  # about a 65,536th of a source
     taken = own.filter("upto <= __left").groupBy("__of").agg(F.max("__key").alias("__last"), F.max("upto").alias("__got"))
     edge = few.join(taken.withColumnRenamed("__of", "__taken"), F.col("__of").eqNullSafe(F.col("__taken")), "left")
     floor = F.when(F.col("__lane") > -32768, F.shiftleft(F.col("__lane"), 48) - 1)  # no hash of the range: all those below it
-    edge = edge.select("__of", F.coalesce("__last", floor).alias("last"), (F.col("__left") - F.coalesce("__got", F.lit(0))).alias("gap"))
+    edge = edge.select("__of", "__lane", "__upper", F.coalesce("__last", floor).alias("last"), (F.col("__left") - F.coalesce("__got", F.lit(0))).alias("gap"))
     edge = materialize(edge, "edges")
     near = F.broadcast(edge) if found.count() <= BROADCAST_SOURCES else edge
-    # What is missing still is less than the next document; the one of the others that fits it best is taken, too.
-    others = rows.join(near, rows["__source"].eqNullSafe(near["__of"])).filter("last is null or __key > last")
-    best = others.groupBy(F.col("__of").alias("__best")).agg(F.min(F.struct(F.abs(F.col("gap") - F.col("__size")).alias("off"), F.col("__key").alias("key"))).alias("fit"))
-    edge = edge.join(best, F.col("__of").eqNullSafe(F.col("__best")), "left").select(
-        "__of", "last", F.when(F.col("fit.off") < F.col("gap"), F.col("fit.key")).alias("extra")
-    )
+    # What is missing still is less than the next document; of those after it, each that fits is taken.
+    others = rows.join(near, rows["__source"].eqNullSafe(near["__of"]) & (lane >= near["__lane"]) & (lane <= near["__upper"]))
+    others = others.filter("(last is null or __key > last) and __size > 0")
+    queue = others.groupBy(F.col("__of").alias("__fit"), "gap").agg(F.sort_array(F.collect_set(F.struct(F.col("__key").alias("key"), F.col("__size").alias("size")))).alias("docs"))
+    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("taken"))
+    add = lambda acc, d: F.when(
+        d["size"] <= acc["left"], F.struct((acc["left"] - d["size"]).alias("left"), F.concat(acc["taken"], F.array(d["key"])).alias("taken"))
+    ).otherwise(acc)
+    fit = queue.select("__fit", F.slice("docs", 1, FILLERS).alias("docs"), F.aggregate(F.slice("docs", 1, FILLERS), start, add).alias("fit"))
+    # One more, if that comes nearer than to leave the rest out.
+    over = lambda d: F.struct(F.abs(F.col("fit.left") - d["size"]).alias("off"), d["key"].alias("key"))
+    one = F.array_min(F.transform(F.filter("docs", lambda d: ~F.array_contains("fit.taken", d["key"])), over))
+    fit = fit.withColumn("one", one).select("__fit", F.when(F.col("one.off") < F.col("fit.left"), F.concat("fit.taken", F.array("one.key"))).otherwise(F.col("fit.taken")).alias("extra"))
+    edge = edge.join(fit, F.col("__of").eqNullSafe(F.col("__fit")), "left").select("__of", "last", "extra")
     return goal.join(edge, F.col("__source").eqNullSafe(F.col("__of")), "left").select(
         "__source", "source_size", "target", "epochs", "last", "extra"
     )
@@ -134,7 +150,7 @@ def _plan(
 
 
 def _copies() -> Column:
-    return F.col("epochs") + F.when((F.col("__key") <= F.col("last")) | (F.col("__key") == F.col("extra")), 1).otherwise(0)
+    return F.col("epochs") + F.when((F.col("__key") <= F.col("last")) | F.array_contains("extra", F.col("__key")), 1).otherwise(0)
 
 
 def _planned(docs: DataFrame, carry: list[str], text: str, source: str, doc_id: str, seed: int, plan: DataFrame) -> DataFrame:
