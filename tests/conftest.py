@@ -44,6 +44,8 @@ def oracle(sf):
 
 def rows_of(frame):
     """Rows in any order, as text, with missing values alike."""
+    import pandas as pd
+
     frame = frame[sorted(frame.columns)]
-    shown = [tuple("" if v is None or v != v else str(v) for v in r) for r in frame.astype(object).itertuples(index=False, name=None)]
+    shown = [tuple("" if pd.isna(v) else str(v) for v in r) for r in frame.astype(object).itertuples(index=False, name=None)]
     return sorted(shown)
