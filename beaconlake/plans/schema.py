@@ -87,3 +87,13 @@ def assert_schema(df: DataFrame, table: str) -> None:
 
 def epoch_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def fingerprint() -> str:
+    """A short name for the layout of all tables: FNV-1a over their columns and types."""
+    h = 0xCBF29CE484222325
+    for table in sorted(SCHEMAS):
+        for f in SCHEMAS[table].fields:
+            for byte in f"{table}.{f.name}:{f.dataType.simpleString()};".encode():
+                h = (h ^ byte) * 0x100000001B3 & (1 << 64) - 1
+    return f"{h:016x}"

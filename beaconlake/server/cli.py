@@ -13,9 +13,12 @@ import urllib.request
 
 from pyspark.sql import SparkSession
 
+from beaconlake.plans.schema import SchemaError
 from beaconlake.server import config as settings
 from beaconlake.server import log
 from beaconlake.server.http import App, Server
+from beaconlake.sources import meta
+from beaconlake.sources.tables import ParquetTables
 
 
 def serve(path: str | None) -> int:
@@ -25,7 +28,11 @@ def serve(path: str | None) -> int:
         SparkSession.builder.appName("beaconlake").config("spark.scheduler.mode", "FAIR")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
-    server = Server(App(spark, config))
+    app = App(spark, config)
+    if isinstance(app.tables, ParquetTables):
+        app.tables.create_missing()
+        meta.stamp(spark, app.tables.root)
+    server = Server(app)
     for sign in (signal.SIGINT, signal.SIGTERM):
         signal.signal(sign, lambda *_: threading.Thread(target=server.drain).start())
     logging.getLogger("beaconlake").info("listening", extra={"fields": {"bind": config.bind, "tls": config.tls_enabled}})
@@ -58,7 +65,7 @@ def main(args: list[str] | None = None) -> int:
     got = parser.parse_args(args)
     try:
         return serve(got.config) if got.command == "serve" else healthcheck(got.url, got.timeout, got.insecure)
-    except settings.ConfigError as error:
+    except (settings.ConfigError, SchemaError) as error:
         print(f"settings: {error}", file=sys.stderr)
         return 2
 
