@@ -527,12 +527,12 @@ def _reduce_runs(table: pa.Table, buckets: int) -> pa.Table:
     ids, hashes, first, last = merge_runs(table.column("run").to_pylist())
     bucket = bucket_of(ids, buckets)
     order = np.argsort(bucket, kind="stable")
-    bounds = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else []
+    bounds = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))[: len(order)]
     rows = []
-    for a, z in zip(bounds, [*bounds[1:], len(order)], strict=True):
+    for a, z in zip(bounds, np.append(bounds[1:], len(order))[: len(bounds)], strict=True):
         w = order[a:z]
         rows.append(zstandard.compress(b"".join(x[w].astype(k).tobytes() for x, k in ((ids, "<i8"), (hashes, "<u4"), (first, "<i8"), (last, "<i8"))), 1))
-    return pa.table({"bucket": pa.array(bucket[order][bounds] if len(order) else [], pa.int32()), "found": pa.array(rows, pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[order][bounds], pa.int32()), "found": pa.array(rows, pa.binary())})
 
 
 def _cut(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, bytes]:
