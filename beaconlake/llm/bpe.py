@@ -36,12 +36,12 @@ from beaconlake.llm.common import ship
 #: Words of more bytes go through the heap.
 LONG = 256
 #: Characters of text that are encoded at once, at least one text; words in one recursive query; units and words remembered.
-BLOCK_CHARS = 4_000_000
-BLOCK_WORDS = 50_000
-MOST_UNITS = 500_000
-MOST_WORDS = 600_000
+BLOCK_CHARS = 2_000_000
+BLOCK_WORDS = 20_000
+MOST_UNITS = 150_000
+MOST_WORDS = 400_000
 #: Tokens that are decoded at once, at least one text's.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 300_000
 
 CONTRACT = """
 WITH RECURSIVE s(i, w, p, t, q, n) AS (
@@ -111,7 +111,7 @@ class Numbered(dict):
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str, memory: str = "300MB") -> None:
+    def __init__(self, path: str, pattern: str, memory: str = "128MB") -> None:
         import duckdb
         import regex
 
@@ -211,15 +211,11 @@ class Codec:
         self.unit_ids.add(ids, bounds[ends] - bounds[ends - each])
         fresh.clear()
 
-    def _units(self, text: str) -> list[int]:
-        """Numbers of the units of a text: what stands between single spaces, with the space before it."""
-        parts = text.split(" ")
-        first = parts[0]
-        if first and not first[0].isspace() and "" not in parts and not text[-1].isspace():
-            rest = text[len(first) :]
-            if "\n " not in rest and " \n" not in text and not self._odd(text):
-                return [self.units[first], *map(self.units.__getitem__, map(" ".__add__, parts[1:]))]
-        return list(map(self.units.__getitem__, self.safe.split(text))) if text else []
+    def _plain(self, text: str) -> bool:
+        """Whether each space of a text stands alone between other signs, so that units are what a split gives."""
+        if not text or text[0].isspace() or text[-1].isspace() or "  " in text or "\n " in text or " \n" in text:
+            return False
+        return not self._odd(text)
 
     def _odd(self, text: str) -> bool:
         """Whether a text has white space besides space and line feed; then only the pattern can tell."""
@@ -229,9 +225,27 @@ class Codec:
         """Ids of the texts, one after the other, and how many each has."""
         if self.unit_ids.n > MOST_UNITS:
             self.forget(len(self.words) > MOST_WORDS)
-        found = [self._units(t) for t in texts]
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        found: list[np.ndarray | None] = [None] * len(texts)
+        if plain:
+            # Arrow tells units apart; Python sees each one once a call, with the space before it.
+            parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+            units = parts.values.dictionary_encode()
+            index, ends = units.indices.to_numpy(), parts.offsets.to_numpy()
+            first = np.zeros(len(index), bool)
+            first[ends[:-1]] = True
+            number = np.zeros(len(units.dictionary), np.int64)
+            used = np.unique(index[~first])
+            number[used] = np.fromiter(map(self.units.__getitem__, map(" ".__add__, units.dictionary.take(pa.array(used)).to_pylist())), np.int64)
+            flat = number[index]
+            flat[ends[:-1]] = np.fromiter((self.units[x] for x in units.dictionary.take(pa.array(index[ends[:-1]])).to_pylist()), np.int64)
+            for i, a, z in zip(plain, ends[:-1], ends[1:], strict=True):
+                found[i] = flat[a:z]
+        for i, own in enumerate(found):
+            if own is None:
+                found[i] = np.array([self.units[u] for u in self.safe.split(texts[i])] if texts[i] else [], np.int64)
         self._learn_units()
-        flat = np.fromiter((u for us in found for u in us), np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *found])
         each = np.array([len(us) for us in found], np.int64)
         ids, length = self.unit_ids.get(flat)
         bounds = np.concatenate([[0], np.cumsum(length)])
