@@ -11,7 +11,7 @@ Of records with equal payloads the one with the largest page_id is the response.
 apart by SHA-256 and length; groups of any size are summed map-side.
 
 Defined cases: a null payload is an empty one; a null page_id comes before all others in that order and
-comes back as null; rows of equal page_id and payload are each a capture, and the first by locator of
+comes back as null; rows of equal page_id and payload are each a capture, and the last by locator of
 the largest page_id is the response; a null url is written as ``about:blank``; an empty table gives an
 empty result; extra columns are left out.
 """
