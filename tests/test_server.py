@@ -292,3 +292,47 @@ def test_over_the_wire(app):
     finally:
         server.drain()
     assert cli.main(["healthcheck", "--url", base, "--timeout", "1"]) == 1
+
+
+def test_tls(app, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("openssl"):
+        pytest.skip("no openssl to make a certificate with")
+    cert, key = tmp_path / "c.pem", tmp_path / "k.pem"
+    made_ = ["openssl", "req", "-x509", "-newkey", "rsa:2048", "-nodes", "-keyout", key, "-out", cert, "-days", "2", "-subj", "/CN=localhost"]
+    subprocess.run(list(map(str, made_)), check=True, capture_output=True, timeout=60)
+    app.config = replace(app.config, bind="127.0.0.1:0", tls_enabled=True, tls_cert_file=str(cert), tls_key_file=str(key))
+    server = Server(app)
+    threading.Thread(target=server.serve_forever, kwargs={"poll_interval": 0.05}, daemon=True).start()
+    url = f"https://127.0.0.1:{server.server_address[1]}"
+    try:
+        assert cli.main(["healthcheck", "--url", url, "--timeout", "60", "--insecure"]) == 0
+        assert cli.main(["healthcheck", "--url", url, "--timeout", "60"]) == 1, "a certificate that nobody knows"
+    finally:
+        server.drain()
+        app.config = replace(app.config, tls_enabled=False)
+
+
+def test_too_many_connections(app):
+    import socket
+
+    app.config = replace(app.config, bind="127.0.0.1:0", max_connections=1)
+    server = Server(app)
+    threading.Thread(target=server.serve_forever, kwargs={"poll_interval": 0.05}, daemon=True).start()
+    try:
+        with socket.create_connection(server.server_address), socket.create_connection(server.server_address) as second:
+            second.settimeout(30)
+            head = second.recv(4096)
+        assert head.startswith(b"HTTP/1.1 503") and b"Retry-After: 5" in head and b"server_overloaded" in head
+    finally:
+        server.shutdown()
+        server.server_close()
+        app.config = replace(app.config, max_connections=1024)
+
+
+def test_serve_needs_good_settings(tmp_path, capsys):
+    file = tmp_path / "c.toml"
+    file.write_text('api_key = ""')
+    assert cli.main(["serve", "--config", str(file)]) == 2 and "api_key" in capsys.readouterr().err
