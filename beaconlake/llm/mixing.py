@@ -139,18 +139,19 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
 
 def _plan(
     docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple[float, ...], budget: float, max_epochs: float, seed: int
-) -> tuple[DataFrame, DataFrame]:
-    """docs and the columns __size, __copies, __source_size, __target."""
+) -> DataFrame:
+    """Per source: __of (its name), __source_size, __target, __epochs, __upto, __more."""
     narrow = sized(docs.select(*dict.fromkeys([doc_id, text, source])), text, source, doc_id, seed)
     narrow = materialize(narrow.select("__source", "__size", "__key"), "sizes")
     sizes = narrow.groupBy("__source").agg(F.sum("__size").alias("source_size"))
     plan = thresholds(narrow, targets(sizes, weights, budget, max_epochs))
-    plan = materialize(plan, "mix").withColumnsRenamed({"__source": "__of", "source_size": "__source_size", "target": "__target"})
+    names = {"__source": "__of", "source_size": "__source_size", "target": "__target", "epochs": "__epochs", "last": "__upto", "extra": "__more"}
+    plan = materialize(plan, "mix").withColumnsRenamed(names)
     return plan
 
 
 def _copies() -> Column:
-    return F.col("epochs") + F.when((F.col("__key") <= F.col("last")) | F.array_contains("extra", F.col("__key")), 1).otherwise(0)
+    return F.col("__epochs") + F.when((F.col("__key") <= F.col("__upto")) | F.array_contains("__more", F.col("__key")), 1).otherwise(0)
 
 
 def _planned(docs: DataFrame, carry: list[str], text: str, source: str, doc_id: str, seed: int, plan: DataFrame) -> DataFrame:
