@@ -45,8 +45,9 @@ from beaconlake.llm.common import materialize, ship
 SPAN, GRAM = 50, 14
 GRAMS = SPAN - GRAM + 1
 LEFT = GRAMS - 1
-#: Bytes of text of a run, at least one text; and bytes of text that a range or bucket is for.
-CHUNK, SHARE = 12 << 20, 12 << 20
+#: Bytes of text of a run, at least one text; and bytes of text that a range or bucket is for. Runs times ranges is
+#: the number of packed runs, so larger executors should take larger ones: a worker needs about 50 times as many bytes.
+CHUNK, SHARE = 8 << 20, 8 << 20
 #: One document in so many is looked at for sizes and frequent grams; the most grams that count as frequent.
 SAMPLE, MOST_FREQUENT = 64, 4096
 NO_ID = np.iinfo(np.int64).max
@@ -501,7 +502,7 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 BUCKET = "cast(pmod({id} ^ shiftrightunsigned({id}, 15) ^ shiftrightunsigned({id}, 31), {n}L) as int)"
 
 
-def _map_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _map_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, parts: int, chunk: int) -> Iterator[pa.RecordBatch]:
     texts: list[bytes] = []
     ids: list[int] = []
     size = 0
@@ -516,7 +517,7 @@ def _map_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, parts: in
             texts.append(text)
             ids.append(NO_ID if doc_id is None else doc_id)
             size += len(text)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield from flush()
                 texts, ids, size = [], [], 0
     if texts:
@@ -568,7 +569,7 @@ def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def plan_sizes(rows: DataFrame, share: int = SHARE) -> tuple[int, np.ndarray]:
+def plan_sizes(rows: DataFrame, share: int) -> tuple[int, np.ndarray]:
     """Ranges (and buckets) to deal into, and grams too frequent for one range, both from a sample.
 
     What the sample misses costs time and never changes the result.
@@ -595,15 +596,15 @@ def plan_sizes(rows: DataFrame, share: int = SHARE) -> tuple[int, np.ndarray]:
     return parts, np.array([r["gram"] for r in hot], np.int64).astype(np.uint64)
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, share: int = SHARE) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    parts, frequent = plan_sizes(rows)
+    parts, frequent = plan_sizes(rows, share)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _map_runs(batches, frequent, parts)
+        return _map_runs(batches, frequent, parts, chunk)
 
     def reduce(table: pa.Table) -> pa.Table:
         return _reduce_runs(table, parts)

@@ -121,6 +121,12 @@ def test_rows(spark, monkeypatch):
     assert x.dedup(df.limit(0)).count() == 0
 
 
+def test_ranges_without_repeats(spark):
+    df = spark.createDataFrame([(i, f"{i} " * 40) for i in range(3)], "doc_id long, text string")
+    assert [r["n_removed"] for r in x.dedup(df, share=50).collect()] == [0, 0, 0]
+    assert x._reduce_runs(x.pa.table({"run": [r for _, r in x.chunk_runs([b"z" * 60], np.array([1]), NONE, 1)]}), 3).num_rows == 0
+
+
 def test_frequent_grams_go_as_windows(spark, monkeypatch):
     monkeypatch.setattr(x, "SAMPLE", 1)
     rng = random.Random(4)
@@ -129,8 +135,7 @@ def test_frequent_grams_go_as_windows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     parts, frequent = x.plan_sizes(df.selectExpr("doc_id", "cast(text AS binary) AS text"), share=1000)
     assert parts >= 9 and len(frequent)
-    monkeypatch.setattr(x, "SHARE", 1000)
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in x.dedup(df).collect()]
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in x.dedup(df, chunk=2000, share=1000).collect()]
     assert sorted(got) == sorted(by_hand([(i, t.encode()) for i, t in rows]))
 
 
