@@ -3,8 +3,8 @@
 Each task splits its texts by the pattern, and puts each word it hasn't met (and that is no token as
 a whole) into a table of token-position rows with their right neighbours. A recursive query joins
 neighbours with the merge table, contracts each word's leftmost pair of least rank, and repeats
-until no word has a pair left. Ids of a text are gathered from its words. Decoding joins
-(text, position, id) rows with the vocabulary and aggregates the bytes in order of position.
+until no word has a pair left. Ids of a text are gathered from its words. Decoding aggregates
+(text, position, id) rows in order of position and puts the bytes of each text's ids together.
 
 A recursive query keeps the rows of all its rounds, so its memory grows with the square of a word's
 length. Words of over ``LONG`` bytes are therefore contracted in the same order over a heap.
@@ -59,8 +59,8 @@ SELECT w, p, t FROM s JOIN (SELECT w, max(i) AS i FROM s GROUP BY w) z USING (w,
 """
 
 DECODE = """
-SELECT doc, sha256(unhex(string_agg(hex, '' ORDER BY pos))) AS sha
-FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
+SELECT doc, sha256(unhex(array_to_string(list_select((SELECT hex FROM vocabulary), ids), ''))) AS sha
+FROM (SELECT doc, list(id + 1 ORDER BY pos) AS ids FROM tokens GROUP BY doc) ORDER BY doc
 """
 
 
@@ -129,7 +129,10 @@ class Codec:
         a, b, ab = np.array(pairs or np.empty((0, 3)), np.int32).T
         self._table("given", a=a, b=b, ab=ab)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        self.db.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+        spelt = [""] * (max(self.ranks.values()) + 1)  # by id; a list, which is read by place
+        for token, rank in self.ranks.items():
+            spelt[rank] = token.hex()
+        self.db.register("given", pa.table({"hex": [spelt]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.db.unregister("given")
         self.forget()
@@ -188,6 +191,7 @@ class Codec:
                 whole.append((w, self._contract_long(raw)))
             else:
                 table.append((w, raw))
+        table.sort(key=lambda pair: len(pair[1]))  # words of a block are then done after about as many rounds
         for at in range(0, len(table), BLOCK_WORDS):
             part = table[at : at + BLOCK_WORDS]
             self.words.update(zip((w for w, _ in part), range(self.word_ids.n, self.word_ids.n + len(part))))
