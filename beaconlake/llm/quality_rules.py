@@ -32,7 +32,7 @@ BASE = ("short", "repeats")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MAX_HOST_RATE = 0.5
 #: Pseudo-documents of the prior: the least, the most, and those where hosts do not differ at all.
-PRIOR_LEAST, PRIOR_MOST = 1.0, 1000.0
+PRIOR_LEAST, PRIOR_MOST = 10.0, 1000.0
 #: Up to so many rejected hosts are sent to every executor; more go through a shuffled join.
 BROADCAST_HOSTS = 10_000
 
@@ -178,7 +178,7 @@ h AS (
          unnest([sum(f1::INT), sum(f2::INT), sum(f3::INT), sum(f4::INT)]) AS bad FROM f GROUP BY source),
 p AS (SELECT rule, sum(bad) / sum(n) AS m, var_pop(bad / n) AS v FROM h GROUP BY rule),
 s AS (
-  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 1000) ELSE 1000 END AS k FROM p),
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 10), 1000) ELSE 1000 END AS k FROM p),
 r AS (SELECT host, max((bad + m * k) / (n + k)) > {rate} AS rejected FROM h JOIN s USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
        f1 OR f2 AS base_failed, rejected AS host_rejected, NOT (f1 OR f2) AND NOT rejected AS kept

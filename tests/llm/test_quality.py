@@ -35,7 +35,7 @@ def good(i):
 
 
 def test_hosts_are_rejected_with_their_documents(spark):
-    rows = [(i, good(i), "fine") for i in range(60)] + [(100 + i, "short", "spam") for i in range(60)] + [(200, good(1), "spam")]
+    rows = [(i, good(i), "fine") for i in range(1000, 1300)] + [(0, good(0), "fine")] + [(100 + i, "short", "spam") for i in range(60)] + [(200, good(1), "spam")]
     rows += [(300, "short", "fine"), (301, good(2), None), (302, "short", "single")]
     got = {r["doc_id"]: r for r in q.quality(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got[0]["kept"] and not got[300]["kept"] and got[300]["base_failed"]
