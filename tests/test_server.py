@@ -31,7 +31,7 @@ def made(spark, table, rows):
 
 @pytest.fixture(scope="module")
 def app(spark):
-    now = params.now().replace(microsecond=123456)
+    now = params.now().replace(microsecond=123456) - timedelta(seconds=3)
     payment = {
         "time_unix_nano": now, "start_time_unix_nano": now, "name": "demo.payment.transactions", "unit": "1", "int_value": 7, "service_name": "payment",
         "resource_attributes": '{"deployment.environment":"demo"}', "metric_attributes": "{}", "aggregation_temporality": 2, "is_monotonic": True,
