@@ -52,7 +52,8 @@ class WordCoder:
     """The tokenizers library, asked once for each word that a worker remembers.
 
     Texts are cut at white space, which no word of this vocabulary holds, after what the tokenizer's
-    normaliser does; the units go through its pattern, and each word through its own model.
+    normaliser does; the units go through its pattern, and each word through its own model. Texts that
+    hold the content of an added token go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,6 +67,10 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.normalise = self.tokenizer.normalizer.normalize_str
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens that are sought in normalised text are not told by their content")
+        self.added = [t.content for t in added]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.size = self.tokenizer.get_vocab_size()
         self.letters = self._byte_letters()
@@ -113,6 +118,9 @@ class WordCoder:
         """Ids of each text. Units are told apart by Arrow; Python sees each one once a call."""
         if self.ids.n > MOST_UNITS:
             self.forget()
+        whole = {i: t for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        if whole:
+            texts = ["" if i in whole else t for i, t in enumerate(texts)]
         parts = pc.split_pattern(pa.array(map(self._normal, texts), pa.large_string()), " ")
         units = parts.values.dictionary_encode()
         known = np.fromiter(map(self.units.__getitem__, units.dictionary.to_pylist()), np.int64)
@@ -120,7 +128,10 @@ class WordCoder:
         self.fresh.clear()
         self.ids.add(np.fromiter((i for x in new for i in x), np.int32), np.fromiter(map(len, new), np.int64))
         flat, ends = known[units.indices.to_numpy()], parts.offsets.to_numpy()
-        return [self.ids.get(flat[a:b])[0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out = [self.ids.get(flat[a:b])[0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i, t in whole.items():
+            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
+        return out
 
 
 #: Letters whose small form hangs on what stands around them, or takes more than one sign.

@@ -74,6 +74,22 @@ def test_words_against_the_library():
     assert [x.tolist() for x in coder.encode(texts[::-1])] == want[::-1]
 
 
+def test_added_tokens_against_the_unaltered_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    path = public.path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), h.WordCoder(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", *SIGNS]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a" * 2000 + "<|startoftext|>"] + ["".join(rng.choice(parts[: rng.choice([6, 80])]) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_in_a_table(spark):
+    check(spark, [(1, "a b"), (2, "a <|endoftext|> b"), (3, "<|startoftext|>"), (4, "c d")])
+
+
 def check(spark, rows, df=None):
     from tokenizers import Tokenizer
 
