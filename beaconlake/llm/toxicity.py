@@ -4,8 +4,8 @@ A word's input is the sum of a vector of the word itself (for words of the train
 mean vector of its character 3- to 5-grams, hashed into buckets, so unseen words of a known kind are
 scored too. Two GRUs read each window in both directions; attention weighs their states, and a
 logistic unit scores the pooled state. Windows of ``WINDOW`` words start every ``STRIDE`` words and
-cover the whole text; a document's score comes from the mean logit of its highest fifth of windows, one
-at least, so that a single chance hit in a long text does not decide.
+cover the whole text; a document's score is that of its highest window, as in training, so a toxic passage
+counts alike in a text of any length. The more windows a clean text has, the more chances of a false hit.
 
 Training takes a bounded sample of labelled rows: at most ``MOST_DOCS`` documents of each label, in
 order of a seeded hash, and at most ``MOST_WINDOWS`` windows of each, drawn on the executors. Of a toxic
@@ -40,8 +40,6 @@ BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 MOST_DOCS, MOST_WINDOWS = 2500, 16
 STEPS, BATCH_DOCS, DOC_WINDOWS = 800, 48, 6
-#: The part of a text's windows whose mean logit is its score.
-TOP = 0.2
 SEED = 7
 THRESHOLD = 0.7
 #: Words whose inputs a worker remembers; windows that are scored at once.
@@ -288,7 +286,7 @@ class Scorer:
             self.n += len(part)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Per text, the logistic of the mean logit of its highest windows."""
+        """Per text, the logistic of the logit of its highest window."""
         if self.n > MOST_WORDS:
             self.forget()
         parts = pc.split_pattern(pa.array(map(clean, texts), pa.large_binary()), b" ")
@@ -312,10 +310,7 @@ class Scorer:
             logits[at : at + BATCH] = self.net.forward(self.gates, np.where(o + steps < n[d], flat[place], 0))
         if not len(doc):
             return np.empty(0)
-        order = np.lexsort((-logits, doc))
-        sums = np.concatenate([[0.0], np.cumsum(logits[order], dtype=np.float64)])
-        first, top = np.cumsum(many) - many, np.ceil(TOP * many).astype(np.int64)
-        return _sigmoid((sums[first + top] - sums[first]) / top)
+        return _sigmoid(np.maximum.reduceat(logits, np.cumsum(many) - many).astype(np.float64))
 
 
 _scorers: dict[str, Scorer] = {}

@@ -73,6 +73,18 @@ def test_learns_and_scores_unseen_rows(spark, made):
     assert got[9003]["predicted"] == 1 and got[9001]["score"] == got[9002]["score"] < 0.7
 
 
+def test_a_toxic_passage_in_a_long_clean_text(made):
+    """A passage counts alike wherever it stands and however long the text around it is."""
+    train = [(x.clean(t).split(), y) for _, t, y in made[:400]]
+    own = x.Scorer(x.fit([([w[a : a + x.WINDOW] for a in x.starts(len(w))], y) for w, y in train]))
+    clean = " ".join(t for _, t, y in made[400:] if not y).split()
+    long = (clean * 2)[:5000]
+    passage = [w for k, w in enumerate(clean[:57]) for w in ([w, "grumwix"] if k % 19 == 9 else [w])]
+    assert len(long) == 5000 and len(passage) == 60
+    placed = [" ".join(long[:at] + passage + long[at:]) for at in range(0, 5001, 487)]
+    assert (own.scores(placed) >= x.THRESHOLD).all() and own.scores([" ".join(long)])[0] < x.THRESHOLD
+
+
 def test_held_out_labels_are_not_read(made):
     """sample() is all that reads labels; its filter is on the documents' numbers."""
     assert {i for i, _, _ in made if zlib.crc32(str(i).encode()) % 3 == 1}
