@@ -20,7 +20,10 @@ email    local part and domain                                        letters an
                                                                       part, each kind in its place
 ======== ============================================================ ===================================
 
-Numbers that break the rules of their format stay as they are, and so does all other text.
+Numbers that break the rules of their format stay as they are, and so does all other text. Cards and IBANs are
+sought among all spans of whole groups in a run, so other groups beside them do not hide them; where spans overlap,
+the first and longest counts. Where a pseudonym and its neighbours would read as other values, it is permuted again
+and then differs from the same value's elsewhere.
 
 Defined cases: a null text stays null with no findings; an empty one stays empty; texts of any length
 are worked on whole, in one task each; repeated rows give repeated rows; an empty table gives an empty
@@ -115,7 +118,7 @@ class Pseudonyms:
             r"|(?P<one>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d))"
             r"|(?P<plus>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,4}(?!\d))"
             r"|(?P<phone>(?<![\d-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-]))"
-            r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
+            r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,}(?!\d))"
         )
 
     def _number(self, digits: str, tweak: str, ok: Callable[[str], bool] | None = None) -> str:
@@ -232,12 +235,58 @@ class Pseudonyms:
         body = digits[0] + self._number(digits[1:-1], "card|" + digits[0])
         return _put(at, body + str(-luhn(body + "0") % 10))
 
+    def valid(self, kind: str, at: str) -> bool:
+        if kind == "card":
+            digits = re.sub(r"\D", "", at)
+            return 13 <= len(digits) <= 19 and digits[0] in "23456" and not luhn(digits)
+        bare = at.replace(" ", "")
+        if not 15 <= len(bare) <= 34 or not re.match(r"[A-Z]{2}\d{2}", bare):
+            return False
+        return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+    def spans(self, kind: str, at: str) -> list[tuple[int, int]]:
+        """The valid values of a run that begin and end with its groups: from the left, the longest at each start."""
+        groups, signs = [m.span() for m in re.finditer(r"[0-9A-Z]+", at)], 19 if kind == "card" else 34
+        out, i = [], 0
+        while i < len(groups):
+            begin, n, best = groups[i][0], 0, None
+            for k in range(i, len(groups)):
+                n += groups[k][1] - groups[k][0]
+                if n > signs:
+                    break
+                if self.valid(kind, at[begin : groups[k][1]]):
+                    best = k
+            if best is None:
+                i += 1
+            else:
+                out.append((begin, groups[best][1]))
+                i = best + 1
+        return out
+
+    def run(self, kind: str, at: str) -> tuple[str, int]:
+        """The run with its values replaced, and how many it has.
+
+        Where a pseudonym would make other values of the run, all are permuted again, so the way back finds the same.
+        """
+        own, new = self.spans(kind, at), at
+        while own:
+            for a, b in own:
+                new = new[:a] + getattr(self, kind)(new[a:b]) + new[b:]
+            if self.spans(kind, new) == own:
+                break
+        return new, len(own)
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many values of each kind it had."""
         found: dict[str, int] = {}
 
         def put(m: re.Match) -> str:
             kind = m.lastgroup
+            if kind in _GROUPED:
+                new, n = self.run(kind, m[0])
+                if n:
+                    found[kind] = found.get(kind, 0) + n
+                return new
             new = getattr(self, kind)(m[0])
             if new is None:
                 return m[0]
@@ -248,6 +297,8 @@ class Pseudonyms:
         return self.pattern.sub(put, text), found
 
 
+#: Kinds whose values may stand beside other groups in what the pattern takes.
+_GROUPED = ("card", "iban")
 _KIND_OF = {"iso": "date", "dotted": "date", "slashed": "date", "day_month": "date", "month_day": "date", "plus": "phone", "one": "phone"}
 
 
