@@ -45,7 +45,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = scratch(spark, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table.scratch_path = at
+    return table
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -55,6 +57,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what :func:`materialize` wrote, once no plan reads it; frames that it did not write are left alone."""
+    for table in tables:
+        if table is not None and (path := getattr(table, "scratch_path", None)):
+            remove(table.sparkSession, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once a session."""
     sc = spark.sparkContext
@@ -86,24 +95,35 @@ def _scans_files(docs: DataFrame) -> bool:
     return kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
 
 
-def with_locator(docs: DataFrame, name: str = "__loc") -> DataFrame:
-    """docs and a struct that names each row for good: the file it comes from and its place there.
+def located(docs: DataFrame) -> DataFrame:
+    """Two columns: doc, the input's row as one struct, and loc, a struct that names the row for good.
 
-    A frame that isn't a plain scan of files is first written to the shared folder. A frame that has the
-    column is left as it is, so that all that is made from it has the same names for its rows.
+    All that an operator adds stands beside ``doc``, so no name of an input column can meet one of its own;
+    ``select("doc.*")`` gives the row back. Selections from the struct are pruned down to the scan. The name of
+    a row is the file it comes from and its place there; a frame that isn't a plain scan of files, or that hides
+    these behind a column of its own, is first written to the shared folder.
     """
-    if name in docs.columns:
-        return docs
-    if not _scans_files(docs):
-        docs = materialize(docs, "located")
+    whole = docs.select(F.struct("*").alias("doc"))
+    hidden = any(c.lower() == "_metadata" for c in docs.columns)
+    if hidden or not _scans_files(docs):
+        whole = materialize(whole, "located")
+        at = F.col("_metadata")
+        place = F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row"))
+        out = whole.select("doc", place.alias("loc"))
+        out.scratch_path = whole.scratch_path
+        return out
     place = F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
-    return docs.select("*", place.alias(name))
+    return docs.select(F.struct("*").alias("doc"), place.alias("loc"))
+
+
+def of(name: str, struct: str = "doc") -> Column:
+    """A column of the input's row, whatever signs its name has."""
+    return F.col(struct).getField(name)
 
 
-def renamed_clashes(docs: DataFrame, names: list[str]) -> DataFrame:
-    """docs without its columns that an operator's output replaces."""
-    own = {n.lower() for n in names}
-    return docs.drop(*[c for c in docs.columns if c.lower() in own])
+def row_name(doc_id: str) -> Column:
+    """What orders rows for good: those with a doc_id first, by it, then by place."""
+    return F.struct(of(doc_id).isNull().alias("unnamed"), of(doc_id).cast("long").alias("doc_id"), F.col("loc").alias("at"))
 
 
 def words_of(text: Column) -> Column:

@@ -3,12 +3,21 @@
 Texts are normalised (each run of ASCII white space becomes one space) and digested with SHA-256.
 Digests enter a streaming aggregation whose state is kept in RocksDB without expiry: by digest, the
 smallest identifier, the locator (file and row) of the row that stays, and the number of rows.
-Digests seen more than once are hits; for those, the full normalised bytes are compared, and rows
-whose texts differ in spite of equal digests are regrouped by the texts themselves.
+
+Digests seen more than once are hits, and only for those are full bytes compared: the texts of hits are
+sought by digest, and their least and greatest normalised text must be the same bytes. Copies meet in
+map-side sums, so a group of any size costs a row a task. Up to ``BROADCAST_HITS`` hit digests go to every
+executor and texts without a hit never leave their task; beyond that the texts meet the hits in a shuffled
+join. Rows whose texts differ in spite of equal digests are regrouped by the texts themselves.
+
+A state folder given as ``state`` is kept: a later call with other rows goes on from it, so the keeper may
+be a row of an earlier call (``kept`` is then false for all rows of its group), and group sizes count all
+calls. The files that the rows came from are noted there, and the bytes of a hit on an earlier row are read
+from its file. Without ``state`` the folder lives as long as the call.
 
 Defined cases: null counts as empty, so all null, empty and blank-to-"" texts are one group; a null
 doc_id sorts after all others; of rows with equal doc_id and text the first by locator stays; an
-empty table gives an empty result; extra columns stay in :func:`drop_copies` and are left out by
+empty table gives an empty result; extra columns of any name stay in :func:`drop_copies` and are left out by
 :func:`exact_groups`.
 """
 
@@ -19,7 +28,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import SPACE, materialize, remove, scratch, with_locator
+from beaconlake.llm.common import SPACE, discard, located, make_dir, materialize, of, remove, row_name, scratch
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_CONF = {
@@ -33,6 +42,8 @@ STREAM_CONF = {
 }
 #: Digest rows of one micro-batch come from so many bytes of digest files at most.
 BATCH_BYTES = 256 << 20
+#: Up to so many digests of hits are sent to every executor (about 100 bytes each); more go through a shuffled join.
+BROADCAST_HITS = 200_000
 
 
 def normalised(text: Column) -> Column:
@@ -87,46 +98,86 @@ def stream_groups(spark: SparkSession, digests: str, schema, state: str, batch_b
     return last.select("key", "last.keeper", "last.group_size")
 
 
-def _row(doc_id: str) -> Column:
-    return F.struct(
-        F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__loc").alias("at")
-    )
+def _texts(rows: DataFrame, text: str, bits: int) -> DataFrame:
+    """Per row of :func:`located`: key (its digest), loc and norm."""
+    norm = normalised(of(text).cast("string"))
+    return rows.select(F.col("loc"), norm.alias("norm")).select(digest("norm", bits).alias("key"), "loc", "norm")
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 256) -> DataFrame:
-    """Per row of docs: at (its locator), doc_id, keeper, group_size, sha256."""
-    spark = docs.sparkSession
-    located = with_locator(docs).select(*dict.fromkeys([doc_id, text]), "__loc")
-    norm = located.select(_row(doc_id).alias("row"), normalised(F.col(text)).alias("norm"))
-    folder = scratch(spark, "exact-dedup")
-    rows = norm.select(digest("norm", bits).alias("key"), "row", *([] if bits == 256 else [F.sha2("norm", 256).alias("sha256")]))
-    rows.write.parquet(f"{folder}/digests")
-    rows = spark.read.schema(rows.schema).parquet(f"{folder}/digests")
-    groups = materialize(stream_groups(spark, f"{folder}/digests", rows.schema, f"{folder}/state"), "exact-groups")
-    remove(spark, f"{folder}/state")
-
-    # Full bytes: within the digest of a hit, the least and the greatest text must be the same bytes.
-    # Copies meet in the map-side sums, so a group of any size costs a row per task.
-    bytes_of = norm.select(digest("norm", bits).alias("key"), "norm").groupBy("key").agg(
-        F.min("norm").alias("least"), F.max("norm").alias("most"), F.count("*").alias("n")
-    )
-    mixed = materialize(bytes_of.filter("n > 1 and least <> most").select("key"), "mixed-digests")
+def _earlier(spark: SparkSession, state: str, hits: DataFrame, text: str, bits: int) -> DataFrame | None:
+    """Texts of earlier calls, from the files that hold a row with a hit's digest."""
+    files = spark.read.schema("path string, file long").parquet(f"{state}/files")
+    rows = spark.read.schema("key string, row struct<unnamed: boolean, doc_id: bigint, at: struct<file: bigint, row: bigint>>").parquet(f"{state}/digests")
+    holding = rows.join(hits, "key", "left_semi").select(F.col("row.at.file").alias("file")).distinct()
+    paths = [r["path"] for r in files.join(holding, "file", "left_semi").select("path").distinct().collect()]  # a path a file
+    return _texts(located(spark.read.parquet(*paths)), text, bits) if paths else None
+
+
+def _true_groups(texts: DataFrame, hits: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """For digests that different texts share: own_at, true_keeper and true_size of their rows; None if there are none.
+
+    texts has key, loc and norm; hits has the keys that occur twice or more; rows has key and row.
+    """
+    few = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+    shared = texts.join(few, "key", "left_semi")
+    ends = shared.groupBy("key").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    mixed = materialize(ends.filter("least <> most").select("key"), "mixed-digests")
+    if mixed.isEmpty():
+        discard(mixed)
+        return None
+    own = texts.join(mixed, "key", "left_semi").select("loc", "norm")
+    own = own.join(rows.join(mixed, "key", "left_semi").select("row"), F.col("loc") == F.col("row.at"))
+    apart = own.groupBy("norm").agg(F.min("row").alias("true_keeper"), F.count("*").alias("true_size"))
+    apart = materialize(own.join(apart, "norm").select(F.col("loc").alias("own_at"), "true_keeper", "true_size"), "apart")
+    discard(mixed)
+    return apart
+
+
+def grouped(rows: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 256, state: str | None = None) -> DataFrame:
+    """Per row of :func:`located`: at (its locator), doc_id, keeper, group_size, sha256."""
+    spark = rows.sparkSession
+    folder = state or scratch(spark, "exact-dedup")
+    texts = _texts(rows, text, bits)
+    own = rows.select(row_name(doc_id).alias("row"), normalised(of(text).cast("string")).alias("norm"))
+    own = own.select(digest("norm", bits).alias("key"), "row", *([] if bits == 256 else [F.sha2("norm", 256).alias("sha256")]))
+    schema = own.select("key", "row").schema
+    if state:
+        now = materialize(own, "digests")
+        make_dir(spark, f"{folder}/files")
+        now.select("key", "row").write.mode("append").parquet(f"{folder}/digests")
+    else:
+        own.write.parquet(f"{folder}/digests")
+        now = spark.read.schema(own.schema).parquet(f"{folder}/digests")
+    groups = materialize(stream_groups(spark, f"{folder}/digests", schema, f"{folder}/state"), "exact-groups")
+    hits = groups.filter("group_size > 1").select("key")
+    every = now
+    if state:
+        hits = hits.join(now.select("key"), "key", "left_semi")
+        every = spark.read.schema(schema).parquet(f"{folder}/digests")
+    hits = materialize(hits, "hits")
+    if state:
+        earlier = _earlier(spark, folder, hits, text, bits)
+        texts = texts if earlier is None else texts.unionByName(earlier)
+        files = spark.read.parquet(*rows.inputFiles()).select(F.col("_metadata.file_path").alias("path")).distinct() if rows.inputFiles() else None
+        if files is not None:
+            files.withColumn("file", F.xxhash64("path")).write.mode("append").parquet(f"{folder}/files")
+    apart = _true_groups(texts, hits, every.select("key", "row"))
+    discard(hits)
+    if not state:
+        remove(spark, f"{folder}/state")
     sha = F.col("key") if bits == 256 else F.col("sha256")
-    out = rows.join(groups, "key").select("key", "row", sha.alias("sha256"), "keeper", "group_size")
-    if not mixed.isEmpty():
-        own = norm.select(digest("norm", bits).alias("key"), "row", "norm").join(mixed, "key", "left_semi")
-        apart = own.groupBy("norm").agg(F.min("row").alias("true_keeper"), F.count("*").alias("true_size"))
-        apart = materialize(own.join(apart, "norm").select(F.col("row").alias("own_row"), "true_keeper", "true_size"), "apart")
-        out = out.join(apart, out["row"] == apart["own_row"], "left").select(
+    out = now.join(groups, "key").select("row", sha.alias("sha256"), "keeper", "group_size")
+    if apart is not None:
+        out = out.join(apart, out["row.at"] == apart["own_at"], "left").select(
             "row", "sha256", F.coalesce("true_keeper", "keeper").alias("keeper"),
             F.coalesce("true_size", "group_size").alias("group_size"),
         )
     return out.select("row.at", "row.doc_id", "keeper", "group_size", "sha256")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 256, state: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    return grouped(docs, text, doc_id, bits).select(
+    return grouped(located(docs), text, doc_id, bits, state).select(
         "doc_id",
         F.col("keeper.doc_id").alias("keep_id"),
         "group_size",
@@ -135,11 +186,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bi
     )
 
 
-def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", state: str | None = None) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    located = with_locator(docs)
-    gone = grouped(located, text, doc_id).filter(F.col("at") != F.col("keeper.at")).select("at")
-    return located.join(gone, located["__loc"] == gone["at"], "left_anti").select(*docs.columns)
+    rows = located(docs)
+    gone = grouped(rows, text, doc_id, state=state).filter(F.col("at") != F.col("keeper.at")).select("at")
+    return rows.join(gone, F.col("loc") == F.col("at"), "left_anti").select("doc.*")
 
 
 SQL = r"""

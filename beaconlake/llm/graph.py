@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import materialize
+from beaconlake.llm.common import discard, materialize
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,13 +41,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
     now = materialize(now, "edges")
     mark = None
     for _ in range(most_rounds):
-        now = materialize(_starred(_starred(now, True), False), "edges")
+        later = materialize(_starred(_starred(now, True), False), "edges")
+        discard(now)
+        now = later
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if seen == mark:
             break
         mark = seen
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    out.scratch_path = now.scratch_path
+    return out

@@ -2,17 +2,22 @@
 
 Sources share a budget of words by weight. A source whose share is above ``max_epochs`` times its
 size is clamped there, and what it leaves is shared among the others by weight, until none is above.
-Each document is then taken whole as often as its source's target holds whole epochs, and once more
-if its seeded hash is at or below its source's threshold. The threshold is the last hash at which the
-running total of words, in order of the hash, is within the fraction that is left; of the next ``FILLERS``
-documents, each that fits into what is missing then is taken, too, and one more if that comes nearer.
-
-Running totals go by 65,536 ranges of the hash per source first; only the rows of the one range that
-holds the threshold are put in order. So a source with a third of all rows is summed map-side.
+Each document is then taken whole as often as its source's target holds whole epochs. What is left of the
+target is filled by one more copy of some documents, first fit in order of a seeded hash: a document is taken
+if it fits into what is still missing. Rounds do this without putting rows in order. A round takes the
+documents that are no larger than what is missing, up to the one at which their running total passes it; the
+next round goes on after that one with what is missing then. Rounds end where a source has nothing left that
+fits, or misses no more than ``TOLERANCE`` of its target; at last one more document is taken if that comes
+nearer. So a source is off its target by ``TOLERANCE`` of it or by less than half of the smallest document
+that was not taken.
+
+Where a running total passes is found by lanes: words are summed by ``2 ** LANE_BITS`` ranges of the hash per
+source, the range that holds the place is split anew, and so on until it has ``FEW`` documents or is one
+hash. No task orders more than a source's ranges or these few documents, however many rows a source has.
 
 Defined cases: a null or blank text has size 0; the null source is a source of its own and the last
 in the order; sources without words get target 0; rows that agree in doc_id and text share a hash and
-are taken alike; an empty table gives an empty result; extra columns stay in :func:`mixed` and are
+are taken alike; an empty table gives an empty result; extra columns of any name stay in :func:`mixed` and are
 left out by :func:`planned`.
 """
 
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import materialize, n_words_of
+from beaconlake.llm.common import discard, materialize, n_words_of, of
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -29,33 +34,34 @@ MAX_EPOCHS = 2.0
 SEED = 20_24
 #: Up to so many sources are sent to every executor; more go through a shuffled join.
 BROADCAST_SOURCES = 10_000
-#: Documents after the threshold that are tried for what is missing to the target.
-FILLERS = 256
+#: Part of a target that may be missing; bits of the hash of a lane; documents that one task may put in order.
+TOLERANCE = 1e-4
+LANE_BITS, FEW = 10, 4096
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
     """sources and place, from 0 in code-point order with null last; each task orders a range of them."""
-    order = [F.col("__source").isNull(), F.col("__source")]
+    order = [F.col("source").isNull(), F.col("source")]
     dealt = sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt, "sources")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return dealt.withColumn("own", own).join(F.broadcast(offsets), "part").select(  # a row a partition
-        "__source", "source_size", (F.col("own") + F.col("offset")).alias("place")
+        "source", "source_size", (F.col("own") + F.col("offset")).alias("place")
     )
 
 
 def targets(
     sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS
 ) -> DataFrame:
-    """sizes has __source and source_size, a row a source. Adds target, the source's words in the mix.
+    """sizes has source and source_size, a row a source. Adds target, the source's words in the mix.
 
     The water level only rises, so a round needs no more than the level: it sums the weights that are
     still free and the caps of the clamped, and the driver sees these sums alone.
     """
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
-    ranked = _ranked(sizes).select("__source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
+    ranked = _ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
     ranked = materialize(ranked, "weights")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, clamped = 0.0, -1
@@ -72,93 +78,126 @@ def targets(
         if not got["weights"]:
             break
         level = max(level, (budget * total - (got["caps"] or 0.0)) / got["weights"])
-    return ranked.select("__source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
+    return ranked.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _key(text: Column, doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id, F.coalesce(text, F.lit("")))
+def sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> DataFrame:
+    """doc (the input's row), source, size and key, the seeded hash."""
+    key = F.xxhash64(F.lit(seed), of(doc_id), F.coalesce(of(text).cast("string"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.select("doc", of(source).alias("source"), n_words_of(of(text).cast("string")).alias("size"), key.alias("key"))
 
 
-def sized(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> DataFrame:
-    return docs.select(
-        "*", F.col(source).alias("__source"), n_words_of(F.col(text)).alias("__size"),
-        _key(F.col(text), F.col(doc_id), seed).alias("__key"),
-    )
+def _side(table: DataFrame) -> DataFrame:
+    """A table of a row a source, sent to all executors if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
+def passing(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """Per source (column of): hi, the hash at which the running total of size passes missing, null where it doesn't,
+    and got, the total before it. rows has of, missing (of its source), key and size.
+    """
+    shift, found, done = 64 - LANE_BITS, None, []
+    while True:
+        lane = F.shiftright("key", shift) if shift else F.col("key")
+        here = rows
+        if found is not None:
+            at = found.select(F.col("of").alias("at"), "prefix", "before")
+            here = rows.join(_side(at), rows["of"].eqNullSafe(F.col("at")) & (F.shiftright("key", last) == F.col("prefix")))
+        here = here.withColumn("before", F.lit(0).cast("long")) if found is None else here
+        sums = here.groupBy("of", "missing", "before", lane.alias("lane")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        upto = Window.partitionBy("of").orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(upto))  # of 2 ** LANE_BITS rows a source, or FEW
+        over = F.when(F.col("upto") > F.col("missing"), F.struct("lane", (F.col("upto") - F.col("words")).alias("before"), "docs"))
+        found = sums.groupBy("of").agg(F.min(over).alias("over"), F.max("upto").alias("all"))
+        found = materialize(found.select("of", F.col("over.lane").alias("prefix"), F.coalesce("over.before", "all").alias("before"), "over.docs"), "lanes")
+        if shift == 0:
+            done.append(found.select("of", F.col("prefix").alias("hi"), F.col("before").alias("got")))
+            break
+        none = found.filter("prefix is null").select("of", F.lit(None).cast("long").alias("hi"), F.col("before").alias("got"))
+        done.append(none)
+        found_more = found.filter("prefix is not null")
+        most = found_more.agg(F.max("docs")).first()[0]
+        if most is None:
+            break
+        found, last = found_more, shift
+        shift = 0 if most <= few else max(0, shift - LANE_BITS)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
 
+def _fits(rules: str, key: str = "key", size: str = "size") -> Column:
+    """Whether a round took a document."""
+    k, n = F.col(key), F.col(size)
+    return F.exists(rules, lambda r: (k >= r["lo"]) & (r["hi"].isNull() | (k < r["hi"])) & (n <= r["fit"]))
 
-def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Per source: source_size, target, epochs (whole repetitions), last (the greatest hash taken once more) and extra (further hashes)."""
-    goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    goal = goal.withColumn("epochs", F.floor("rate").cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    goal = materialize(goal, "goals")
-    side = F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal
-    lane = F.shiftright("__key", 48)
-    lanes = rows.groupBy("__source", lane.alias("lane")).agg(F.sum("__size").alias("words"), F.count("*").alias("docs"))
-    upto = Window.partitionBy("__source").orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)
-    lanes = lanes.select(  # 65,536 rows a source at most
-        F.col("__source").alias("__of"), "lane", "words", (F.sum("words").over(upto) - F.col("words")).alias("before"),
-        (F.sum("docs").over(upto) - F.col("docs")).alias("docs_before"), "docs",
+
+def filled(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Per source of goal (source, target, rest): rules, the rounds that take documents once more, and one, a further hash.
+
+    rows has source, size and key.
+    """
+    rule = "array<struct<lo: bigint, hi: bigint, fit: bigint>>"
+    now = goal.select(
+        F.col("source").alias("of"), "target", F.floor(F.col("rest") + 1e-6).cast("long").alias("missing"),
+        F.lit(-(1 << 63)).cast("long").alias("lo"), F.expr(f"cast(array() as {rule})").alias("rules"), F.lit(False).alias("closed"),
     )
-    lanes = materialize(lanes, "lanes")
-    found = lanes.join(side, lanes["__of"].eqNullSafe(side["__source"])).filter("before <= rest and rest < before + words")
-    found = found.select(F.col("__of").alias("__at"), F.col("lane").alias("__lane"), (F.col("rest") - F.col("before")).alias("__left"), (F.col("docs_before") + F.col("docs")).alias("__docs"))
-    # The ranges that hold the next FILLERS documents, too.
-    wide = lanes.join(found, lanes["__of"].eqNullSafe(found["__at"])).filter(F.col("docs_before") < F.col("__docs") + FILLERS)
-    found = wide.groupBy("__of", "__lane", "__left").agg(F.max("lane").alias("__upper"))
-    found = materialize(found, "lanes")
-    few = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found
-    own = rows.join(few, rows["__source"].eqNullSafe(few["__of"]) & (lane == few["__lane"]))
-    own = own.groupBy("__of", "__left", "__key").agg(F.sum("__size").alias("words"))
-    order = Window.partitionBy("__of").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("upto", F.sum("words").over(order))  # about a 65,536th of a source
-    taken = own.filter("upto <= __left").groupBy("__of").agg(F.max("__key").alias("__last"), F.max("upto").alias("__got"))
-    edge = few.join(taken.withColumnRenamed("__of", "__taken"), F.col("__of").eqNullSafe(F.col("__taken")), "left")
-    floor = F.when(F.col("__lane") > -32768, F.shiftleft(F.col("__lane"), 48) - 1)  # no hash of the range: all those below it
-    edge = edge.select("__of", "__lane", "__upper", F.coalesce("__last", floor).alias("last"), (F.col("__left") - F.coalesce("__got", F.lit(0))).alias("gap"))
-    edge = materialize(edge, "edges")
-    near = F.broadcast(edge) if found.count() <= BROADCAST_SOURCES else edge
-    # What is missing still is less than the next document; of those after it, each that fits is taken.
-    others = rows.join(near, rows["__source"].eqNullSafe(near["__of"]) & (lane >= near["__lane"]) & (lane <= near["__upper"]))
-    others = others.filter("(last is null or __key > last) and __size > 0")
-    queue = others.groupBy(F.col("__of").alias("__fit"), "gap").agg(F.sort_array(F.collect_set(F.struct(F.col("__key").alias("key"), F.col("__size").alias("size")))).alias("docs"))
-    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("taken"))
-    add = lambda acc, d: F.when(
-        d["size"] <= acc["left"], F.struct((acc["left"] - d["size"]).alias("left"), F.concat(acc["taken"], F.array(d["key"])).alias("taken"))
-    ).otherwise(acc)
-    fit = queue.select("__fit", F.slice("docs", 1, FILLERS).alias("docs"), F.aggregate(F.slice("docs", 1, FILLERS), start, add).alias("fit"))
+    now = materialize(now, "fill")
+    while True:
+        open_ = now.filter(~F.col("closed") & (F.col("missing") > TOLERANCE * F.col("target")))
+        if open_.isEmpty():
+            break
+        side = _side(open_.select("of", "missing", "lo"))
+        fits = rows.join(side, rows["source"].eqNullSafe(side["of"])).filter("size > 0 and size <= missing and key >= lo")
+        got = passing(fits.select("of", "missing", "key", "size")).withColumnRenamed("of", "got_of")
+        step = now.join(got, F.col("of").eqNullSafe(F.col("got_of")) & ~F.col("closed"), "left")
+        ran = F.col("got").isNotNull()
+        new = F.array(F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("missing").alias("fit"))).cast(rule)
+        # A source in which nothing fitted any more, or all of it did, is closed.
+        after = step.select(
+            "of", "target", F.when(ran, F.col("missing") - F.col("got")).otherwise(F.col("missing")).alias("missing"),
+            F.when(ran & F.col("hi").isNotNull() & (F.col("hi") < F.lit((1 << 63) - 1)), F.col("hi") + 1).otherwise(F.col("lo")).alias("lo"),
+            F.when(ran, F.concat("rules", new)).otherwise(F.col("rules")).alias("rules"),
+            (F.col("closed") | ~ran | F.col("hi").isNull() | (F.col("hi") == F.lit((1 << 63) - 1))).alias("closed"),
+        )
+        later = materialize(after, "fill")
+        discard(now)
+        now = later
     # One more, if that comes nearer than to leave the rest out.
-    over = lambda d: F.struct(F.abs(F.col("fit.left") - d["size"]).alias("off"), d["key"].alias("key"))
-    one = F.array_min(F.transform(F.filter("docs", lambda d: ~F.array_contains("fit.taken", d["key"])), over))
-    fit = fit.withColumn("one", one).select("__fit", F.when(F.col("one.off") < F.col("fit.left"), F.concat("fit.taken", F.array("one.key"))).otherwise(F.col("fit.taken")).alias("extra"))
-    edge = edge.join(fit, F.col("__of").eqNullSafe(F.col("__fit")), "left").select("__of", "last", "extra")
-    return goal.join(edge, F.col("__source").eqNullSafe(F.col("__of")), "left").select(
-        "__source", "source_size", "target", "epochs", "last", "extra"
-    )
+    side = _side(now)
+    near = rows.join(side, rows["source"].eqNullSafe(side["of"])).filter("size > missing and size < 2 * missing").filter(~_fits("rules"))
+    units = near.groupBy("of", "missing", "key").agg(F.sum("size").alias("words")).filter("words < 2 * missing")
+    one = units.groupBy(F.col("of").alias("one_of")).agg(F.min(F.struct((F.col("words") - F.col("missing")).alias("off"), "key")).alias("best"))
+    return now.join(one, F.col("of").eqNullSafe(F.col("one_of")), "left").select("of", "rules", F.col("best.key").alias("one"))
 
 
 def _plan(
-    docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple[float, ...], budget: float, max_epochs: float, seed: int
+    rows: DataFrame, weights: tuple[float, ...], budget: float, max_epochs: float
 ) -> DataFrame:
-    """Per source: __of (its name), __source_size, __target, __epochs, __upto, __more."""
-    narrow = sized(docs.select(*dict.fromkeys([doc_id, text, source])), text, source, doc_id, seed)
-    narrow = materialize(narrow.select("__source", "__size", "__key"), "sizes")
-    sizes = narrow.groupBy("__source").agg(F.sum("__size").alias("source_size"))
-    plan = thresholds(narrow, targets(sizes, weights, budget, max_epochs))
-    names = {"__source": "__of", "source_size": "__source_size", "target": "__target", "epochs": "__epochs", "last": "__upto", "extra": "__more"}
-    plan = materialize(plan, "mix").withColumnsRenamed(names)
+    """Per source: of (its name), source_size, target, epochs, rules and one."""
+    narrow = materialize(rows.select("source", "size", "key"), "sizes")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(sizes, weights, budget, max_epochs)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = goal.withColumn("epochs", F.floor(rate + 1e-12).cast("long"))
+    goal = materialize(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
+    extra = filled(narrow, goal)
+    plan = goal.join(extra, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", "epochs", "rules", "one"
+    )
+    plan = materialize(plan, "mix")
+    discard(narrow, goal)
     return plan
 
 
-def _copies() -> Column:
-    return F.col("__epochs") + F.when((F.col("__key") <= F.col("__upto")) | F.array_contains("__more", F.col("__key")), 1).otherwise(0)
-
-
-def _planned(docs: DataFrame, carry: list[str], text: str, source: str, doc_id: str, seed: int, plan: DataFrame) -> DataFrame:
-    side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    rows = sized(docs.select(*dict.fromkeys([*carry, doc_id, text, source])), text, source, doc_id, seed)
-    rows = rows.select(*carry, "__source", "__size", "__key")
-    return rows.join(side, rows["__source"].eqNullSafe(side["__of"]))
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows of :func:`sized` and source_size, target and copies."""
+    side = _side(plan)
+    more = _fits("rules") | F.coalesce(F.col("key") == F.col("one"), F.lit(False))
+    told = rows.join(side, rows["source"].eqNullSafe(side["of"]))
+    return told.select("doc", "size", "source_size", "target", (F.col("epochs") + more.cast("long")).alias("copies"))
 
 
 def planned(
@@ -166,12 +205,9 @@ def planned(
     budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = SEED,
 ) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken."""
-    plan = _plan(docs, text, source, doc_id, weights, budget, max_epochs, seed)
-    rows = _planned(docs, [doc_id], text, source, doc_id, seed, plan)
-    return rows.select(
-        F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), _copies().alias("copies"), (F.col("__size") * _copies()).alias("taken"),
-    )
+    rows = sized(docs, text, source, doc_id, seed)
+    told = _planned(rows, _plan(rows, weights, budget, max_epochs))
+    return told.select(of(doc_id).alias("doc_id"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(
@@ -179,7 +215,6 @@ def mixed(
     budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = SEED,
 ) -> DataFrame:
     """The mix: each row of docs as often as it is taken, with the columns of docs."""
-    plan = _plan(docs, text, source, doc_id, weights, budget, max_epochs, seed)
-    rows = _planned(docs, docs.columns, text, source, doc_id, seed, plan)
-    rows = rows.withColumn("__copies", _copies()).filter("__copies > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    rows = sized(docs, text, source, doc_id, seed)
+    told = _planned(rows, _plan(rows, weights, budget, max_epochs)).filter("copies > 0")
+    return told.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

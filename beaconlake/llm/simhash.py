@@ -6,8 +6,10 @@ distinct fingerprint is indexed by both segments, whole and with each bit in tur
 equality join finds the candidates and a bit count verifies them. A wildcard entry only meets entries
 with the other value of that bit, so each pair is seen once a segment.
 
-An index entry shared by more than ``crowd`` fingerprints is never joined. Its fingerprints are
-indexed by the points within one bit of them instead: fingerprints that share a point differ in at
+There are two ways to link what shares an index entry, both exact, so that ``crowd`` changes the cost and
+never the components (a property test holds them against each other around it). Up to ``crowd``
+fingerprints to an entry are joined with each other. Those of a larger entry, whose pairs would grow with its
+square, are indexed by the points within one bit of them instead: fingerprints that share a point differ in at
 most two bits, all that differ in at most two share one, and a point has 65 of them at most. These
 are linked to the least, so no pairs of a large group are made. Components are found by star
 contraction over the links; nothing of the size of the corpus comes to the driver.
@@ -15,7 +17,7 @@ contraction over the links; nothing of the size of the corpus comes to the drive
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; a null doc_id sorts after all others;
 repeated rows share a fingerprint and a component; an empty table gives an empty result; extra
-columns are carried by :func:`one_of_each` and left out by :func:`near_groups`.
+columns of any name are carried by :func:`one_of_each` and left out by :func:`near_groups`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import materialize, ship, with_locator
+from beaconlake.llm.common import discard, located, materialize, of, row_name, ship
 from beaconlake.llm.graph import components
 
 SHINGLE = 3
@@ -66,15 +68,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=["row", "fp"])
 
 
-def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: row (struct of unnamed, doc_id and at, its locator) and fp."""
-    ship(docs.sparkSession)
-    located = with_locator(docs).select(*dict.fromkeys([doc_id, text]), "__loc")
-    row = F.struct(
-        F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__loc").alias("at")
-    )
-    rows = located.select(row.alias("row"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
+def fingerprinted(rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of :func:`located`: row (struct of unnamed, doc_id and at, its locator) and fp."""
+    ship(rows.sparkSession)
+    named = rows.select(row_name(doc_id).alias("row"), of(text).cast("binary").alias("text"))
+    return named.mapInArrow(_fingerprints, f"row {named.schema['row'].dataType.simpleString()}, fp long")
 
 
 def _entries(prints: DataFrame) -> DataFrame:
@@ -113,12 +111,14 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     two = least.filter("n = 2").select("a", F.col("z").alias("b"))
     more = points.join(least.filter("n > 2"), "point").select("a", F.col("fp").alias("b"))
     near = two.union(more).filter("a <> b and bit_count(a ^ b) <= 2")
-    return pairs.union(near).distinct()
+    found = materialize(pairs.union(near).distinct(), "links")
+    discard(shared, least)
+    return found
 
 
-def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """Per row of docs: row, fp, first (the row struct that comes first in its component)."""
-    rows = materialize(fingerprinted(docs, text, doc_id), "fingerprints")
+def grouped(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+    """Per row of :func:`located`: row, fp, first (the row struct that comes first in its component)."""
+    rows = materialize(fingerprinted(located_rows, text, doc_id), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("row").alias("first")), "prints")
     roots = components(links(firsts.select("fp"), crowd))
     rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
@@ -126,12 +126,13 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd:
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     named = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "first"), "components")
+    discard(firsts, roots)
     return rows.join(named, "fp")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint in hex, component_id."""
-    return grouped(docs, text, doc_id, crowd).select(
+    return grouped(located(docs), text, doc_id, crowd).select(
         F.col("row.doc_id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),
@@ -140,6 +141,6 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cro
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """Of each component the row with the smallest doc_id, with the columns of docs."""
-    located = with_locator(docs)
-    gone = grouped(located, text, doc_id, crowd).filter(F.col("row") != F.col("first")).select("row.at")
-    return located.join(gone, located["__loc"] == gone["at"], "left_anti").select(*docs.columns)
+    rows = located(docs)
+    gone = grouped(rows, text, doc_id, crowd).filter(F.col("row") != F.col("first")).select("row.at")
+    return rows.join(gone, F.col("loc") == F.col("at"), "left_anti").select("doc.*")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import make_dir, materialize, open_shared, scratch, ship, with_locator
+from beaconlake.llm.common import discard, located, make_dir, materialize, of, open_shared, remove, scratch, ship
 
 #: A file is closed after so many bytes.
 FILE_BYTES = 32 << 20
@@ -84,13 +84,12 @@ def capture(row: str, page_id: int | None, url: str | None, payload: bytes, dige
     return first + request + metadata
 
 
-def digested(pages: DataFrame, payload: str = "html", page_id: str = "page_id") -> DataFrame:
-    """pages and row (its name), named_first, sha256 and size of the payload."""
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    located = with_locator(pages)
-    return located.select(
-        F.col(page_id).cast("long").alias("page_id"), F.col("url"), body.alias("payload"),
-        F.concat_ws("-", F.hex("__loc.file"), "__loc.row").alias("row"), F.sha2(body, 256).alias("sha256"),
+def named(pages: DataFrame, payload: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """page_id, url, payload and row (the page's name)."""
+    return located(pages).select(
+        of(page_id).cast("long").alias("page_id"), of(url).cast("string").alias("url"),
+        F.coalesce(of(payload).cast("binary"), F.lit(b"")).alias("payload"),
+        F.concat_ws("-", F.hex("loc.file"), "loc.row").alias("row"),
     )
 
 
@@ -103,15 +102,15 @@ def write(pages: DataFrame, folder: str, payload: str = "html", page_id: str = "
     spark = pages.sparkSession
     ship(spark)
     make_dir(spark, folder)
-    rows = digested(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")), "html", "page_id")
+    rows = named(pages, payload, page_id, url)
+    # Payloads are read twice: once for their digests, once to be written.
     rank = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "row")
-    keepers = materialize(
-        rows.select("sha256", rank.alias("rank")).groupBy("sha256").agg(F.max("rank").alias("keeper"), F.count("*").alias("n"))
-        .filter("n > 1").select(F.col("sha256").alias("same"), F.col("keeper.row").alias("keeper")), "payload-keepers"
-    )
+    digests = materialize(rows.select(F.sha2("payload", 256).alias("sha256"), rank.alias("rank")), "payload-digests")
+    keepers = digests.groupBy("sha256").agg(F.max("rank").alias("keeper"), F.count("*").alias("n"))
+    keepers = materialize(keepers.filter("n > 1").select(F.col("sha256").alias("same"), F.col("keeper.row").alias("keeper")), "payload-keepers")
     # Only payloads that occur twice are in the table, so the join moves names, not payloads, where it can.
-    names = rows.select("row", "sha256").join(keepers, F.col("sha256") == F.col("same")).filter("row <> keeper")
-    names = materialize(names.select(F.col("row").alias("revisit"), "keeper"), "revisits")
+    names = digests.join(keepers, F.col("sha256") == F.col("same")).filter("rank.row <> keeper")
+    names = materialize(names.select(F.col("rank.row").alias("revisit"), "keeper"), "revisits")
     told = rows.join(names, F.col("row") == F.col("revisit"), "left").select("row", "page_id", "url", "payload", "keeper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +135,9 @@ def write(pages: DataFrame, folder: str, payload: str = "html", page_id: str = "
             columns = list(zip(*made, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["path", "n_records", "n_bytes"])
 
-    return materialize(told.mapInArrow(run, "path string, n_records long, n_bytes long"), "manifest")
+    manifest = materialize(told.mapInArrow(run, "path string, n_records long, n_bytes long"), "manifest")
+    discard(digests, keepers, names)
+    return manifest
 
 
 def members(file: BinaryIO) -> Iterator[bytes]:
@@ -258,9 +259,13 @@ def resolved(captures: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives, reads them, assembles transactions and resolves revisits."""
-    manifest = write(pages, scratch(pages.sparkSession, "warc"))
+    folder = scratch(pages.sparkSession, "warc")
+    manifest = write(pages, folder)
     read = materialize(records(manifest, with_payload=False), "records")
-    return resolved(materialize(transactions(read), "transactions"))
+    out = materialize(transactions(read), "transactions")
+    discard(manifest, read)
+    remove(pages.sparkSession, folder)
+    return resolved(out)
 
 
 SQL = """

@@ -5,7 +5,7 @@ from beaconlake.llm import common
 
 
 def places(df):
-    return [(r["__loc"]["file"], r["__loc"]["row"]) for r in common.with_locator(df).collect()]
+    return [(r["loc"]["file"], r["loc"]["row"]) for r in common.located(df).collect()]
 
 
 def test_rows_have_places_of_their_own(spark, tmp_path):
@@ -27,9 +27,22 @@ def test_other_frames_are_written_first(spark, tmp_path, shape):
     assert len(set(got)) == len(got) == df.count()
 
 
-def test_a_place_is_given_once(spark):
-    df = common.with_locator(spark.range(3))
-    assert common.with_locator(df) is df
+def test_rows_come_back_whole(spark, tmp_path):
+    spark.range(5).selectExpr("id AS `a.b`", "id AS loc", "id AS doc").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = common.located(df)
+    assert got.columns == ["doc", "loc"] and got.select("doc.*").columns == df.columns
+    assert sorted(map(tuple, got.select("doc.*").collect())) == [(i, i, i) for i in range(5)]
+    plan = got.select(common.of("loc")).filter(common.of("a.b") > 3)._jdf.queryExecution().executedPlan().toString()
+    assert "doc#" not in plan.split("ReadSchema")[1], "what is not asked for is not read"
+
+
+def test_tables_are_discarded_once(spark):
+    table = common.materialize(spark.range(3), "x")
+    common.discard(table, None, spark.range(1))
+    import os
+
+    assert not os.path.exists(table.scratch_path.removeprefix("file:"))
 
 
 def test_shared_files(spark, tmp_path):

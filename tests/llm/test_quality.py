@@ -44,10 +44,43 @@ def test_hosts_are_rejected_with_their_documents(spark):
     assert not got[302]["host_rejected"], "one document says little of a host"
 
 
+def scored(spark, rows):
+    return q.counted(spark.createDataFrame(rows, COLUMNS).selectExpr("struct(*) AS doc")).selectExpr("doc.source AS host", "quality")
+
+
 def test_rates_shrink_towards_the_mean(spark):
     rows = [(i, good(i), "big") for i in range(300)] + [(1000, "short", "small")] + [(2000 + i, good(i) if i % 2 else "x", "half") for i in range(40)]
-    rates = {r["host"]: r["rate_short"] for r in q.host_rates(q.counted(spark.createDataFrame(rows, COLUMNS))).collect()}
-    assert 0 <= rates["big"] < 0.05 < rates["half"] < 0.55 and rates["small"] < 1.0
+    rates = {r["host"]: r for r in q.host_rates(scored(spark, rows)).collect()}
+    assert 0 <= rates["big"]["rate_short"] < 0.05 < rates["half"]["rate_short"] < 0.55 and rates["small"]["rate_short"] < 1.0
+    assert all(r["low_short"] < r["rate_short"] for r in rates.values())
+    assert rates["half"]["others_short"] == pytest.approx(1 / 301) and rates["big"]["others_short"] == pytest.approx(21 / 41)
+
+
+def test_suspect_hosts_lose_what_fails_a_rule_there(spark):
+    """Symbols alone are no reason to go but where a host has many such documents."""
+    noisy = lambda i: good(i) + " " + " ".join("#" + "$" * k for k in range(1, 12))
+    rows = [(i, good(i), f"h{i % 8}") for i in range(800)] + [(1000 + i, noisy(i), f"h{i % 8}") for i in range(16)]
+    rows += [(2000 + i, good(i), "loud") for i in range(100)] + [(3000 + i, noisy(i), "loud") for i in range(20)]
+    rows += [(4000, noisy(1), "tiny")]
+    got = {r["doc_id"]: r for r in q.quality(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert not any(r["host_rejected"] or r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == set(range(3000, 3020))
+
+
+def test_planted_hosts_through_the_registered_query(spark, sf, tmp_path):
+    """The driver's own documents, of which those of two hosts are made worse; small clean hosts stay."""
+    from beaconlake.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").toPandas()
+    rows = [(1_000_000 + i, "too short", "bad host") for i in range(40)] + [(2_000_000 + i, good(i), "bad host") for i in range(20)]
+    rows += [(3_000_000 + i, good(i), f"small{i}") for i in range(3)] + [(4_000_000, "short", "single")]
+    frame = spark.createDataFrame(docs[["doc_id", "text", "source"]]).union(spark.createDataFrame(rows, COLUMNS))
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_quality_rules"](spark, str(tmp_path)).collect()}
+    assert all(got[2_000_000 + i]["host_rejected"] and not got[2_000_000 + i]["base_failed"] and not got[2_000_000 + i]["kept"] for i in range(20))
+    assert all(got[3_000_000 + i]["kept"] for i in range(3)) and not got[4_000_000]["host_rejected"]
+    rest = [got[i] for i in docs.doc_id]
+    assert not any(r["host_rejected"] for r in rest)
 
 
 def test_filter_keeps_rows_and_columns(spark):
@@ -66,7 +99,7 @@ def test_empty_table(spark):
 
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, good(1), "a")], COLUMNS)
-    text = q.counted(df)._jdf.queryExecution().executedPlan().toString()
+    text = q.counted(df.selectExpr("struct(*) AS doc"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
 
 
