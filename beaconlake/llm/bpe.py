@@ -6,12 +6,22 @@ neighbours with the merge table, contracts each word's leftmost pair of least ra
 until no word has a pair left. Ids of a text are gathered from its words. Decoding aggregates
 (text, position, id) rows in order of position and puts the bytes of each text's ids together.
 
-A recursive query keeps the rows of all its rounds, so its memory grows with the square of a word's
-length. Words of over ``LONG`` bytes are therefore contracted in the same order over a heap.
+The query is keyed by (word, position) and keeps the last row of each, so its memory grows with the bytes of
+the words, not with the rounds. Two things keep rounds few, and neither changes an id:
+
+* Unless a contraction brings about a pair of lesser rank with what stands beside it, the other occurrences of the
+  leftmost pair would be contracted next, one after the other. These, up to the first that does, go in one round.
+* A word is cut first where no token of the vocabulary can cross, as told by up to ``REACH`` bytes on both sides;
+  its pieces have merges of their own. So unspaced text of large scripts comes in short pieces that recur.
 
 Texts are cut at single spaces between non-space characters first, where no match of the pattern can
 cross, so that the pattern runs once for each distinct unit that a task remembers. Memory: a block of
-texts, a bounded number of remembered units and words, and DuckDB's limit.
+texts, a bounded number of remembered units and words, and DuckDB's limit; DuckDB never spills, as it has no
+folder to do so.
+
+Letters and digits are told by the Unicode tables of the ``regex`` module, which may be newer than the
+library's. Texts that have a code point beyond the common version (unassigned for ``unicodedata``, a letter or digit for
+``regex``) are therefore encoded by the library itself.
 
 Defined cases: a null text is an empty one and has no ids; texts of any length are encoded whole;
 special tokens are ordinary text; repeated rows give repeated rows; an empty table gives an empty
@@ -22,7 +32,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,29 +43,43 @@ from pyspark.sql import functions as F
 
 from beaconlake.llm.common import ship
 
-#: Words of more bytes go through the heap.
-LONG = 256
-#: Characters of text that are encoded at once, at least one text; words in one recursive query; units and words remembered.
+#: Bytes on each side of a place that tell whether a token can cross it.
+REACH = 3
+#: Characters of text that are encoded at once, at least one text; bytes of words in one recursive query, at least one
+#: word; units, words and pieces remembered.
 BLOCK_CHARS = 2_000_000
-BLOCK_WORDS = 20_000
+BLOCK_BYTES = 200_000
 MOST_UNITS = 150_000
 MOST_WORDS = 400_000
 #: Tokens that are decoded at once, at least one text's.
 BLOCK_TOKENS = 300_000
 
+#: t: the token at a place, -1 once it is part of another; q and n: place and token on the right; r: four times the rank
+#: of (t, n), 2 more where that token's pair with itself is of lesser rank, 1 more where a pair of it with any other is.
 CONTRACT = """
-WITH RECURSIVE s(i, w, p, t, q, n) AS (
-  SELECT 0, w, p, t, q, n FROM starts
+WITH RECURSIVE s(w, p, t, q, n, r) USING KEY (w, p) AS (
+  SELECT w, p, t, q, n, m.r FROM starts LEFT JOIN merges m ON t = m.a AND n = m.b
   UNION ALL
-  SELECT s.i + 1, s.w, s.p, CASE WHEN s.p = e.p THEN e.ab ELSE s.t END,
-         CASE WHEN s.p = e.p THEN e.q ELSE s.q END,
-         CASE WHEN s.p = e.p THEN e.n WHEN s.q = e.p THEN e.ab ELSE s.n END
-  FROM s JOIN (
-    SELECT b.w, (b.k & 4294967295)::INT AS p, (b.k >> 32)::INT AS ab, b.gone, x.q, x.n
-    FROM (SELECT s.w, min((m.ab::BIGINT << 32) | s.p) AS k, arg_min(s.q, (m.ab::BIGINT << 32) | s.p) AS gone
-          FROM s JOIN merges m ON s.t = m.a AND s.n = m.b GROUP BY s.w) b
-    JOIN s x ON x.w = b.w AND x.p = b.gone) e ON s.w = e.w AND s.p <> e.gone)
-SELECT w, p, t FROM s JOIN (SELECT w, max(i) AS i FROM s GROUP BY w) z USING (w, i) ORDER BY w, p
+  SELECT x.w, x.p, x.t, x.q, x.n, CASE WHEN x.t >= 0 THEN m.r END
+  FROM (
+    WITH best AS (SELECT w, min((r::BIGINT << 32) | p) AS k FROM s WHERE t >= 0 AND r IS NOT NULL GROUP BY w),
+    live AS (SELECT s.*, b.k FROM s JOIN best b ON s.w = b.w WHERE s.t >= 0),
+    same AS (SELECT w, p, q, r, lag(q) OVER (PARTITION BY w ORDER BY p) IS DISTINCT FROM p AS head
+             FROM live WHERE r = k >> 32 AND (r & 2 = 0 OR p = k & 4294967295)),
+    odd AS (SELECT o.w, o.p, o.r >> 2 AS ab, x.n FROM same o JOIN live x ON x.w = o.w AND x.p = o.q WHERE o.r & 1 = 1),
+    stops AS (SELECT o.w, min(o.p) AS stop FROM odd o LEFT JOIN live y ON y.w = o.w AND y.q = o.p
+              LEFT JOIN merges m ON m.a = o.ab AND m.b = o.n LEFT JOIN merges v ON v.a = y.t AND v.b = o.ab
+              WHERE m.r >> 2 < o.ab OR v.r >> 2 < o.ab GROUP BY o.w),
+    chains AS (SELECT w, p, q, r, sum(head::INT) OVER (PARTITION BY w ORDER BY p) AS chain FROM same),
+    nth AS (SELECT w, p, q, r, row_number() OVER (PARTITION BY w, chain ORDER BY p) AS i FROM chains),
+    picked AS (SELECT nth.* FROM nth LEFT JOIN stops z ON nth.w = z.w WHERE i & 1 = 1 AND (stop IS NULL OR p <= stop)),
+    c AS (SELECT d.w, d.p, d.q AS gone, d.r >> 2 AS ab, l.q, l.n FROM picked d JOIN live l ON l.w = d.w AND l.p = d.q)
+    SELECT l.w, l.p, CASE WHEN g.w IS NOT NULL THEN -1 ELSE coalesce(c.ab, l.t) END AS t,
+           coalesce(c.q, l.q) AS q, coalesce(z.ab, c.n, l.n) AS n
+    FROM live l LEFT JOIN c ON l.w = c.w AND l.p = c.p LEFT JOIN c g ON l.w = g.w AND l.p = g.gone
+    LEFT JOIN c z ON l.w = z.w AND coalesce(c.q, l.q) = z.p) x
+  LEFT JOIN merges m ON x.t = m.a AND x.n = m.b)
+SELECT w, p, t FROM s WHERE t >= 0 ORDER BY w, p
 """
 
 DECODE = """
@@ -111,7 +135,7 @@ class Numbered(dict):
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str, memory: str = "128MB") -> None:
+    def __init__(self, path: str, pattern: str, memory: str = "512MB") -> None:
         import duckdb
         import regex
 
@@ -120,15 +144,21 @@ class Codec:
         self.space = regex.compile(r"\s")
         self.safe = regex.compile(r"(?<=\S)(?= \S)")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False})
+        own = {"threads": 1, "memory_limit": memory, "preserve_insertion_order": False, "temp_directory": ""}
+        self.db = duckdb.connect(config=own)
         pairs = [
             (self.ranks[t[:i]], self.ranks[t[i:]], rank)
             for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        self.pairs = {(a, b): ab for a, b, ab in pairs}
         a, b, ab = np.array(pairs or np.empty((0, 3)), np.int32).T
-        self._table("given", a=a, b=b, ab=ab)
+        lower = np.isin(ab, np.unique(np.concatenate([a[ab < a], b[ab < b]])))
+        twice = np.isin(ab, a[(a == b) & (ab < a)])
+        self._table("given", a=a, b=b, r=4 * ab + 2 * twice + lower)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
+        self.crossing = self._crossing()
+        self.library = None
+        self.settled: set[str] = set()
+        self.path, self.letter = path, regex.compile(r"[\p{L}\p{N}]")
         spelt = [""] * (max(self.ranks.values()) + 1)  # by id; a list, which is read by place
         for token, rank in self.ranks.items():
             spelt[rank] = token.hex()
@@ -140,6 +170,7 @@ class Codec:
     def forget(self, words: bool = True) -> None:
         if words:
             self.words, self.word_ids = {}, Ragged()
+            self.pieces, self.piece_ids = {}, Ragged()
         self.unit_ids = Ragged()
         self.fresh: list[str] = []
         self.units = Numbered(self.fresh, 0)
@@ -147,26 +178,43 @@ class Codec:
     def _table(self, name: str, **columns: np.ndarray) -> None:
         self.db.register(name, pa.table(columns))
 
-    def _contract_long(self, word: bytes) -> list[int]:
-        """The same order of merges: least rank first, then leftmost."""
-        ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        pairs = self.pairs
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else len(ids)
-            if j >= len(ids) or ids[j] != b:
+    def _crossing(self) -> dict[tuple[int, int], np.ndarray]:
+        """What stands on both sides of the places within tokens, by how many bytes of each, as sorted numbers."""
+        found: dict[tuple[int, int], set[int]] = {(i, j): set() for i in range(1, REACH + 1) for j in range(1, REACH + 1)}
+        for token in self.ranks:
+            for i in range(1, len(token)):
+                near = token[max(0, i - REACH) : i + REACH]
+                x = 0
+                for byte in near:
+                    x = x * 257 + byte
+                found[min(i, REACH), min(len(token) - i, REACH)].add(x)
+        return {k: np.array(sorted(v), np.int64) for k, v in found.items()}
+
+    def _cuts(self, words: list[bytes]) -> list[list[bytes]]:
+        """The pieces of words that no token can join."""
+        gap = b"\0" * REACH
+        flat = np.frombuffer(gap + b"".join(w + gap for w in words), np.uint8).astype(np.int64)
+        size = np.array([len(w) for w in words], np.int64)
+        starts = REACH + np.cumsum(size + REACH) - size - REACH
+        inside = np.zeros(len(flat) + 1, np.int32)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + size, -1)
+        flat[np.cumsum(inside[:-1]) == 0] = 256  # no byte of a word
+        joined = np.zeros(len(flat), bool)  # whether a token can cross from the byte before to this one
+        for (i, j), known in self.crossing.items():
+            if not len(known):
                 continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-                if (r := pairs.get((rank, ids[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if before[i] >= 0 and (r := pairs.get((ids[before[i]], rank))) is not None:
-                heapq.heappush(heap, (r, before[i], ids[before[i]], rank))
-        return [x for x in ids if x >= 0]
+            key = np.zeros(len(flat) - i - j + 1, np.int64)
+            for k in range(i + j):
+                key = key * 257 + flat[k : k + len(key)]
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            joined[i : i + len(key)] |= known[at] == key
+        out = []
+        for w, a in zip(words, starts.tolist(), strict=True):
+            cut = np.flatnonzero(~joined[a + 1 : a + len(w)]) + 1
+            ends = [0, *cut.tolist(), len(w)]
+            out.append([w[x:y] for x, y in zip(ends, ends[1:])])
+        return out
 
     def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
@@ -181,23 +229,33 @@ class Codec:
         got = self.db.execute(CONTRACT).fetchnumpy()
         return got["t"], np.bincount(got["w"], minlength=len(words))
 
+    def _learn_pieces(self, pieces: list[bytes]) -> None:
+        pieces.sort(key=len)  # pieces of a block are then done after about as many rounds
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end]) <= BLOCK_BYTES):
+                size += len(pieces[end])
+                end += 1
+            part = pieces[at:end]
+            self.pieces.update(zip(part, range(self.piece_ids.n, self.piece_ids.n + len(part))))
+            self.piece_ids.add(*self._contract(part))
+            at = end
+
     def _learn_words(self, words: list[str]) -> None:
-        whole, table = [], []
-        for w in words:
-            raw = w.encode()
-            if raw in self.ranks:
-                whole.append((w, [self.ranks[raw]]))
-            elif len(raw) > LONG:
-                whole.append((w, self._contract_long(raw)))
-            else:
-                table.append((w, raw))
-        table.sort(key=lambda pair: len(pair[1]))  # words of a block are then done after about as many rounds
-        for at in range(0, len(table), BLOCK_WORDS):
-            part = table[at : at + BLOCK_WORDS]
-            self.words.update(zip((w for w, _ in part), range(self.word_ids.n, self.word_ids.n + len(part))))
-            self.word_ids.add(*self._contract([raw for _, raw in part]))
+        raw = [w.encode() for w in words]
+        whole = [(w, self.ranks[r]) for w, r in zip(words, raw, strict=True) if r in self.ranks]
         self.words.update(zip((w for w, _ in whole), range(self.word_ids.n, self.word_ids.n + len(whole))))
-        self.word_ids.add(np.array([i for _, ids in whole for i in ids], np.int32), np.array([len(ids) for _, ids in whole], np.int64))
+        self.word_ids.add(np.array([i for _, i in whole], np.int32), np.ones(len(whole), np.int64))
+        rest = [(w, r) for w, r in zip(words, raw, strict=True) if r not in self.ranks]
+        if not rest:
+            return
+        cut = self._cuts([r for _, r in rest])
+        self._learn_pieces([x for x in dict.fromkeys(x for xs in cut for x in xs) if x not in self.pieces])
+        ids, length = self.piece_ids.get(np.array([self.pieces[x] for xs in cut for x in xs], np.int64))
+        bounds, ends = np.concatenate([[0], np.cumsum(length)]), np.cumsum([len(xs) for xs in cut])
+        self.words.update(zip((w for w, _ in rest), range(self.word_ids.n, self.word_ids.n + len(rest))))
+        self.word_ids.add(ids, bounds[ends] - bounds[ends - np.array([len(xs) for xs in cut], np.int64)])
 
     def _learn_units(self) -> None:
         """Ids of the units that were met for the first time."""
@@ -228,7 +286,10 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and how many each has."""
         if self.unit_ids.n > MOST_UNITS:
-            self.forget(len(self.words) > MOST_WORDS)
+            self.forget(len(self.words) + len(self.pieces) > MOST_WORDS)
+        newer = {i: t for i, t in enumerate(texts) if not t.isascii() and self._newer(t)}
+        if newer:
+            texts = ["" if i in newer else t for i, t in enumerate(texts)]
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         found: list[np.ndarray | None] = [None] * len(texts)
         if plain:
@@ -254,7 +315,28 @@ class Codec:
         ids, length = self.unit_ids.get(flat)
         bounds = np.concatenate([[0], np.cumsum(length)])
         ends = np.cumsum(each)
-        return ids, bounds[ends] - bounds[ends - each]
+        counts = bounds[ends] - bounds[ends - each]
+        if newer:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, t in newer.items():
+                parts[i] = np.array(self._by_library(t), np.int32)
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, counts
+
+    def _newer(self, text: str) -> bool:
+        """Whether a text has a letter or digit that only the newer of the Unicode tables have."""
+        for c in set(text) - self.settled:
+            if unicodedata.category(c) == "Cn" and self.letter.match(c):
+                return True
+            self.settled.add(c)
+        return False
+
+    def _by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            import tiktoken
+
+            self.library = tiktoken.Encoding("own", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return self.library.encode_ordinary(text)
 
     def decoded_sha256(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """SHA-256 of the bytes that the ids of each text stand for."""

@@ -48,12 +48,60 @@ def test_decoding(coder, monkeypatch):
     assert coder.decoded_sha256(ids, counts) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
 
 
-def test_heap_and_recursion_agree(coder):
+def test_words_without_a_switch(coder, library):
+    """Words of any length and script come through the recursive query."""
     rng = random.Random(6)
-    words = [bytes(rng.choice(b"theandingoer \xc3\xa9") for _ in range(rng.randint(2, 40))) for _ in range(300)]
-    ids, counts = coder._contract(words)
+    texts = ["".join(rng.choice(abc) for _ in range(n)) for abc in ("ACGT", "=", "-=", "abcdefghijklmnopqrstuvwxyz", "aab") for n in (255, 256, 257, 3000)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (80, 300, 3400)]
+    texts += ["".join(rng.choice("กขคงจฉชซญดตถทนบปผพฟมยรลวสหอฮะาิีุูเแโใไ") for _ in range(1200)), "theandingoer" * 850, "x" * 10_000]
+    ids, counts = coder.encode(texts)
+    ends = np.cumsum(counts)
+    for t, a, z in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:z].tolist() == library.encode_ordinary(t), t[:40]
+
+
+def contracted_by_hand(codec, word):
+    """The leftmost pair of least rank, again and again."""
+    parts = [bytes([b]) for b in word]
+    while True:
+        ranks = [codec.ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
+        if not ranks or min(ranks) == 1 << 60:
+            return [codec.ranks[x] for x in parts]
+        i = ranks.index(min(ranks))
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_any_vocabulary(tmp_path):
+    """Ranks in no order that training would give: lesser pairs come up late."""
+    import base64
+
+    rng = random.Random(7)
+    for trial in range(25):
+        tokens = {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(3, 40))}
+        every = [bytes([i]) for i in range(256)] + sorted(tokens, key=lambda t: rng.random())
+        path = tmp_path / f"{trial}.tiktoken"
+        path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(every)))
+        own = bpe.Codec(str(path), tokenizers.PATTERN)
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 60))) for _ in range(60)] + [b"a" * 41, b"ab" * 30]
+        ids, counts = own._contract(words)
+        ends = np.cumsum(counts)
+        want = [contracted_by_hand(own, w) for w in words]
+        assert [ids[a:z].tolist() for a, z in zip(ends - counts, ends, strict=True)] == want
+        assert [[i for x in xs for i in contracted_by_hand(own, x)] for xs in own._cuts(words)] == want
+
+
+def test_nothing_is_spilled(coder):
+    assert coder.db.execute("SELECT current_setting('temp_directory')").fetchall() == [("",)]
+
+
+def test_code_points_of_newer_tables(coder, library):
+    import unicodedata
+
+    newer = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and coder.letter.match(chr(c))]
+    texts = [f"a{c}a1{c}1 {c}!{c}" for c in newer[:: max(1, len(newer) // 3000)]] + ["plain"]
+    ids, counts = coder.encode(texts)
     ends = np.cumsum(counts)
-    assert [ids[a:z].tolist() for a, z in zip(ends - counts, ends, strict=True)] == [coder._contract_long(w) for w in words]
+    assert [ids[a:z].tolist() for a, z in zip(ends - counts, ends, strict=True)] == library.encode_ordinary_batch(texts)
 
 
 def test_forgetting_changes_nothing(coder, library, monkeypatch):

@@ -24,7 +24,7 @@ def names_within() -> list[str]:
 
 
 def rows():
-    out = [(i, " ".join(WORDS[(i // 2 + k * k) % 12] + str(i // 2) for k in range(20)), "en", f"s{i % 3}") for i in range(60)]
+    out = [(i, " ".join(f"{WORDS[(i // 2 + k * k) % 12]}{k}x{i // 2}" for k in range(20)), "en", f"s{i % 3}") for i in range(60)]
     return out + [(60, None, None, None), (None, "a b c", "en", "s1"), (61, "short", "en", "s2"), (60, None, None, None)]
 
 
