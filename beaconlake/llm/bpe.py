@@ -10,7 +10,9 @@ The query is keyed by (word, position) and keeps the last row of each, so its me
 the words, not with the rounds. Two things keep rounds few, and neither changes an id:
 
 * Unless a contraction brings about a pair of lesser rank with what stands beside it, the other occurrences of the
-  leftmost pair would be contracted next, one after the other. These, up to the first that does, go in one round.
+  leftmost pair would be contracted next, one after the other. In pieces of over ``SHORT`` bytes, these, up to the
+  first that does, go in one round (``CONTRACT_MORE``). For shorter ones a round of the query is cheaper that contracts
+  one pair of each. Both are the same recursion, and tests hold them against each other at all lengths.
 * A word is cut first where no token of the vocabulary can cross, as told by up to ``REACH`` bytes on both sides;
   its pieces have merges of their own. So unspaced text of large scripts comes in short pieces that recur.
 
@@ -33,7 +35,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +50,35 @@ REACH = 3
 #: Characters of text that are encoded at once, at least one text; bytes of words in one recursive query, at least one
 #: word; units, words and pieces remembered.
 BLOCK_CHARS = 2_000_000
-BLOCK_BYTES = 200_000
-MOST_UNITS = 150_000
-MOST_WORDS = 400_000
+BLOCK_BYTES = 400_000
+#: Pieces of so many bytes contract one pair a round; words of more bytes than this are looked at for cuts.
+SHORT = 64
+WORTH_CUTTING = 16
+MOST_UNITS = 300_000
+MOST_WORDS = 500_000
 #: Tokens that are decoded at once, at least one text's.
 BLOCK_TOKENS = 300_000
 
 #: t: the token at a place, -1 once it is part of another; q and n: place and token on the right; r: four times the rank
 #: of (t, n), 2 more where that token's pair with itself is of lesser rank, 1 more where a pair of it with any other is.
 CONTRACT = """
+WITH RECURSIVE s(w, p, t, q, n, r) USING KEY (w, p) AS (
+  SELECT w, p, t, q, n, m.r FROM starts LEFT JOIN merges m ON t = m.a AND n = m.b
+  UNION ALL
+  SELECT x.w, x.p, x.t, x.q, x.n, CASE WHEN x.t >= 0 THEN m.r END
+  FROM (
+    WITH best AS (SELECT w, min((r::BIGINT << 32) | p) AS k, arg_min(q, (r::BIGINT << 32) | p) AS gone FROM s WHERE t >= 0 AND r IS NOT NULL GROUP BY w),
+    e AS (SELECT b.w, (b.k & 4294967295)::INT AS p, (b.k >> 34)::INT AS ab, b.gone, x.q, x.n FROM best b JOIN s x ON x.w = b.w AND x.p = b.gone)
+    SELECT s.w, s.p, CASE WHEN s.p = e.gone THEN -1 WHEN s.p = e.p THEN e.ab ELSE s.t END AS t,
+         CASE WHEN s.p = e.p THEN e.q ELSE s.q END AS q,
+         CASE WHEN s.p = e.p THEN e.n WHEN s.q = e.p THEN e.ab ELSE s.n END AS n
+    FROM s JOIN e ON s.w = e.w WHERE s.t >= 0) x
+  LEFT JOIN merges m ON x.t = m.a AND x.n = m.b)
+SELECT w, p, t FROM s WHERE t >= 0 ORDER BY w, p
+"""
+
+#: The same for long pieces, with further occurrences of the leftmost pair in the same round.
+CONTRACT_MORE = """
 WITH RECURSIVE s(w, p, t, q, n, r) USING KEY (w, p) AS (
   SELECT w, p, t, q, n, m.r FROM starts LEFT JOIN merges m ON t = m.a AND n = m.b
   UNION ALL
@@ -188,6 +210,10 @@ class Codec:
                 for byte in near:
                     x = x * 257 + byte
                 found[min(i, REACH), min(len(token) - i, REACH)].add(x)
+        # By the two bytes at a place: whether they are a token of their own, and whether any token has them so.
+        self.pairs_alone, self.pairs_within = np.zeros(257 * 257, bool), np.zeros(257 * 257, bool)
+        self.pairs_alone[list(found[1, 1])] = True
+        self.pairs_within[[a * 257 + b for token in self.ranks for a, b in zip(token, token[1:])]] = True
         return {k: np.array(sorted(v), np.int64) for k, v in found.items()}
 
     def _cuts(self, words: list[bytes]) -> list[list[bytes]]:
@@ -200,23 +226,34 @@ class Codec:
         np.add.at(inside, starts, 1)
         np.add.at(inside, starts + size, -1)
         flat[np.cumsum(inside[:-1]) == 0] = 256  # no byte of a word
-        joined = np.zeros(len(flat), bool)  # whether a token can cross from the byte before to this one
+        pair = flat[:-1] * 257 + flat[1:]
+        joined = np.append(False, self.pairs_alone[pair])  # whether a token can cross from the byte before to this one
+        open_ = np.flatnonzero(self.pairs_within[pair] & ~joined[1:]) + 1
         for (i, j), known in self.crossing.items():
-            if not len(known):
+            if not len(known) or not len(open_) or i + j == 2:
                 continue
-            key = np.zeros(len(flat) - i - j + 1, np.int64)
-            for k in range(i + j):
-                key = key * 257 + flat[k : k + len(key)]
+            key = np.zeros(len(open_), np.int64)
+            for k in range(-i, j):
+                key = key * 257 + flat[open_ + k]
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            joined[i : i + len(key)] |= known[at] == key
-        out = []
-        for w, a in zip(words, starts.tolist(), strict=True):
-            cut = np.flatnonzero(~joined[a + 1 : a + len(w)]) + 1
-            ends = [0, *cut.tolist(), len(w)]
-            out.append([w[x:y] for x, y in zip(ends, ends[1:])])
+            hit = known[at] == key
+            joined[open_[hit]] = True
+            open_ = open_[~hit]
+        inner = np.cumsum(inside[:-1]) > 0
+        inner[starts] = False
+        cut = np.flatnonzero(inner & ~joined)
+        of = np.searchsorted(starts, cut, "right") - 1
+        out = [[w] for w in words]
+        at = (cut - starts[of]).tolist()
+        if not len(of):
+            return out
+        bounds = np.flatnonzero(np.append(True, of[1:] != of[:-1])).tolist()
+        for x, z in zip(bounds, [*bounds[1:], len(of)], strict=True):
+            w, ends = words[of[x]], [0, *at[x:z], size[of[x]]]
+            out[of[x]] = [w[m:n] for m, n in zip(ends, ends[1:])]
         return out
 
-    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _contract(self, words: list[bytes], query: str = CONTRACT) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
         size = np.array([len(w) for w in words], np.int64)
         token = self.byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -226,43 +263,63 @@ class Codec:
         right = np.roll(token, -1)
         right[end - 1] = -1
         self._table("starts", w=word, p=place, t=token, q=place + np.int32(1), n=right)
-        got = self.db.execute(CONTRACT).fetchnumpy()
+        got = self.db.execute(query).fetchnumpy()
         return got["t"], np.bincount(got["w"], minlength=len(words))
 
-    def _learn_pieces(self, pieces: list[bytes]) -> None:
+    def _learn_pieces(self, pieces: list[bytes], store: Callable[[list[bytes], np.ndarray, np.ndarray], None]) -> None:
         pieces.sort(key=len)  # pieces of a block are then done after about as many rounds
         at = 0
         while at < len(pieces):
             end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end]) <= BLOCK_BYTES):
+            query = CONTRACT if len(pieces[at]) <= SHORT else CONTRACT_MORE
+            most = SHORT if query is CONTRACT else len(pieces[-1])
+            while end < len(pieces) and (end == at or size + len(pieces[end]) <= BLOCK_BYTES and len(pieces[end]) <= most):
                 size += len(pieces[end])
                 end += 1
             part = pieces[at:end]
-            self.pieces.update(zip(part, range(self.piece_ids.n, self.piece_ids.n + len(part))))
-            self.piece_ids.add(*self._contract(part))
+            store(part, *self._contract(part, query))
             at = end
 
     def _learn_words(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        whole = [(w, self.ranks[r]) for w, r in zip(words, raw, strict=True) if r in self.ranks]
-        self.words.update(zip((w for w, _ in whole), range(self.word_ids.n, self.word_ids.n + len(whole))))
-        self.word_ids.add(np.array([i for _, i in whole], np.int32), np.ones(len(whole), np.int64))
-        rest = [(w, r) for w, r in zip(words, raw, strict=True) if r not in self.ranks]
+        raw = {w: w.encode() for w in words}
+        whole = [w for w, r in raw.items() if r in self.ranks]
+        self._add_words(whole, np.array([self.ranks[raw[w]] for w in whole], np.int32), np.ones(len(whole), np.int64))
+        rest = {r: w for w, r in raw.items() if r not in self.ranks}
         if not rest:
             return
-        cut = self._cuts([r for _, r in rest])
-        self._learn_pieces([x for x in dict.fromkeys(x for xs in cut for x in xs) if x not in self.pieces])
-        ids, length = self.piece_ids.get(np.array([self.pieces[x] for xs in cut for x in xs], np.int64))
-        bounds, ends = np.concatenate([[0], np.cumsum(length)]), np.cumsum([len(xs) for xs in cut])
-        self.words.update(zip((w for w, _ in rest), range(self.word_ids.n, self.word_ids.n + len(rest))))
-        self.word_ids.add(ids, bounds[ends] - bounds[ends - np.array([len(xs) for xs in cut], np.int64)])
+        cut = {r: [r] for r in rest}
+        far = [r for r in rest if len(r) > WORTH_CUTTING]
+        if far:
+            cut.update(zip(far, self._cuts(far), strict=True))
+        # A word of one piece is kept as a word alone.
+        alone = [r for r, xs in cut.items() if len(xs) == 1]
+        self._learn_pieces(alone, lambda part, ids, counts: self._add_words([rest[r] for r in part], ids, counts))
+        joined = [xs for xs in cut.values() if len(xs) > 1]
+        if not joined:
+            return
+        fresh = list(dict.fromkeys(x for xs in joined for x in xs if x not in self.pieces))
+
+        def store(part: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+            self.pieces.update(zip(part, range(self.piece_ids.n, self.piece_ids.n + len(part))))
+            self.piece_ids.add(ids, counts)
+
+        self._learn_pieces(fresh, store)
+        ids, length = self.piece_ids.get(np.array([self.pieces[x] for xs in joined for x in xs], np.int64))
+        each = np.array([len(xs) for xs in joined], np.int64)
+        bounds, ends = np.concatenate([[0], np.cumsum(length)]), np.cumsum(each)
+        self._add_words([rest[r] for r, xs in cut.items() if len(xs) > 1], ids, bounds[ends] - bounds[ends - each])
+
+    def _add_words(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.words.update(zip(words, range(self.word_ids.n, self.word_ids.n + len(words)), strict=True))
+        self.word_ids.add(ids, counts)
 
     def _learn_units(self) -> None:
         """Ids of the units that were met for the first time."""
         fresh = self.fresh
         if not fresh:
             return
-        found = [self.pattern.findall(u) for u in fresh]
+        find = self.pattern.findall  # of letters alone, with a space before them or not, there is one match
+        found = [(u,) if u.isalpha() or u[0] == " " and u[1:].isalpha() else find(u) for u in fresh]
         new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in self.words]
         self._learn_words(new)
         flat = np.array([self.words[w] for ws in found for w in ws], np.int64)
@@ -300,10 +357,10 @@ class Codec:
             first = np.zeros(len(index), bool)
             first[ends[:-1]] = True
             number = np.zeros(len(units.dictionary), np.int64)
-            used = np.unique(index[~first])
-            number[used] = np.fromiter(map(self.units.__getitem__, map(" ".__add__, units.dictionary.take(pa.array(used)).to_pylist())), np.int64)
+            used = np.flatnonzero(np.bincount(index[~first], minlength=len(units.dictionary)))
+            number[used] = np.fromiter(map(self.units.__getitem__, map(" ".__add__, units.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False))), np.int64)
             flat = number[index]
-            flat[ends[:-1]] = np.fromiter((self.units[x] for x in units.dictionary.take(pa.array(index[ends[:-1]])).to_pylist()), np.int64)
+            flat[ends[:-1]] = np.fromiter((self.units[x] for x in units.dictionary.take(pa.array(index[ends[:-1]])).to_numpy(zero_copy_only=False)), np.int64)
             for i, a, z in zip(plain, ends[:-1], ends[1:], strict=True):
                 found[i] = flat[a:z]
         for i, own in enumerate(found):

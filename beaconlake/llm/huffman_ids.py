@@ -1,7 +1,7 @@
 """Token ids in files of canonical, length-limited Huffman codes.
 
 Texts are encoded with the tokenizers library, an end id is appended to each, and the ids are counted
-over all documents. The code lengths (package-merge, at most ``LIMIT`` bits) are made on the driver
+over all documents in the same pass, a row of partial counts a task. The code lengths (package-merge, at most ``LIMIT`` bits) are made on the driver
 from one number per id of the vocabulary. Documents are dealt out by ranges of doc_id; each task
 writes one file, and files in order of their number hold the documents in ascending order.
 
@@ -16,12 +16,13 @@ A file has a header and segments (all numbers little-endian):
 Each block is decoded on its own from its bit offset, by a table of all ``LIMIT``-bit prefixes.
 
 Defined cases: a null text is an empty one and has the end id only; a null doc_id sorts last; rows of
-equal doc_id are in the order of their ids; a document of any length goes over as many segments as it
+equal doc_id are in the order of a hash of their ids, then of the ids; a document of any length goes over as many segments as it
 takes; an empty table gives an empty result and no file; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import unicodedata
 import uuid
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconlake.llm.bpe import Numbered, Ragged, blocks
-from beaconlake.llm.common import make_dir, materialize, open_shared, scratch, ship
+from beaconlake.llm.common import discard, make_dir, materialize, open_shared, scratch, ship
 
 END_ID = 2
 LIMIT = 16
@@ -53,7 +54,8 @@ class WordCoder:
 
     Texts are cut at white space, which no word of this vocabulary holds, after what the tokenizer's
     normaliser does; the units go through its pattern, and each word through its own model. Texts that
-    hold the content of an added token go to the library whole.
+    hold the content of an added token go to the library whole, and so do those with a code point that is
+    unassigned for ``unicodedata``: the Unicode tables of ``regex`` may be newer than the library's.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,6 +75,7 @@ class WordCoder:
         self.added = [t.content for t in added]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.size = self.tokenizer.get_vocab_size()
+        self.settled: set[str] = set()
         self.letters = self._byte_letters()
         self.forget()
 
@@ -85,6 +88,7 @@ class WordCoder:
 
     def forget(self) -> None:
         self.ids, self.fresh = Ragged(), []
+        self.words: dict[str, list[int]] = {}
         self.units = Numbered(self.fresh, 0)
 
     def _normal(self, text: str) -> str:
@@ -104,34 +108,50 @@ class WordCoder:
             text = text.replace(".", " . ").replace(",", " , ")
         return text
 
+    def _newer(self, text: str) -> bool:
+        """Whether a text has a code point that the library's tables and ours may tell apart differently."""
+        for c in set(text) - self.settled:
+            if unicodedata.category(c) == "Cn":
+                return True
+            self.settled.add(c)
+        return False
+
+    def _word(self, word: str) -> list[int]:
+        shown = word if word.isascii() else word.encode().decode("latin-1")
+        self.words[word] = ids = [t.id for t in self.model.tokenize(shown.translate(self.letters))]
+        return ids
+
     def _ids(self, unit: str) -> list[int]:
-        if unit.isascii() and unit.isalpha():
-            return [t.id for t in self.model.tokenize(unit)]
-        out = []
-        for word in [unit] if unit.isalpha() else self.pattern.findall(self.normalise(unit)):
-            if not word.isascii():
-                word = word.encode().decode("latin-1")
-            out += [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        if unit.isalpha():
+            return self.words.get(unit) or self._word(unit)
+        known, out = self.words, []
+        for word in self.pattern.findall(self.normalise(unit)):
+            out += known.get(word) or self._word(word)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Units are told apart by Arrow; Python sees each one once a call."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and how many each has. Units are told apart by Arrow; Python sees each
+        one once a call."""
         if self.ids.n > MOST_UNITS:
             self.forget()
-        whole = {i: t for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        whole = {i: t for i, t in enumerate(texts) if any(x in t for x in self.added) or not t.isascii() and self._newer(t)}
         if whole:
             texts = ["" if i in whole else t for i, t in enumerate(texts)]
         parts = pc.split_pattern(pa.array(map(self._normal, texts), pa.large_string()), " ")
         units = parts.values.dictionary_encode()
-        known = np.fromiter(map(self.units.__getitem__, units.dictionary.to_pylist()), np.int64)
+        known = np.fromiter(map(self.units.__getitem__, units.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(units.dictionary))
         new = [self._ids(u) for u in self.fresh]
         self.fresh.clear()
-        self.ids.add(np.fromiter((i for x in new for i in x), np.int32), np.fromiter(map(len, new), np.int64))
+        self.ids.add(np.fromiter(itertools.chain.from_iterable(new), np.int32), np.fromiter(map(len, new), np.int64, len(new)))
         flat, ends = known[units.indices.to_numpy()], parts.offsets.to_numpy()
-        out = [self.ids.get(flat[a:b])[0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        for i, t in whole.items():
-            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
-        return out
+        ids, length = self.ids.get(flat)
+        counts = np.diff(np.concatenate([[0], np.cumsum(length)])[ends])
+        if whole:
+            each = np.split(ids, np.cumsum(counts)[:-1])
+            for i, t in whole.items():
+                each[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
+            ids, counts = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        return ids, counts
 
 
 #: Letters whose small form hangs on what stands around them, or takes more than one sign.
@@ -150,36 +170,42 @@ def coder(path: str) -> WordCoder:
 
 
 def token_table(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", end_id: int = END_ID) -> DataFrame:
-    """Per row: doc_id and ids, packed as little-endian numbers of the least size that holds the vocabulary."""
+    """Per row: doc_id and ids, packed as little-endian numbers of the least size that holds the vocabulary. Further rows,
+    one a task, have no ids but used and n: the ids that the task wrote, and how often each."""
     ship(docs.sparkSession)
+    names = ["doc_id", "ids", "used", "n"]
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        kind = "<u2" if own.size <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
+        size = max(own.size, end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        sums = np.zeros(size, np.int64)
         for part in blocks(batches):
-            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            packed = pa.array([x.astype(kind).tobytes() + end for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], names=["doc_id", "ids"])
+            ids, counts = own.encode([t or "" for t in part.column("text").to_pylist()])
+            flat = np.insert(ids.astype(kind), np.cumsum(counts), end_id)
+            counts += 1
+            sums += np.bincount(flat, minlength=size)
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize, pa.int64())
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, ends.buffers()[1], pa.py_buffer(flat)])
+            none = pa.nulls(len(counts), longs)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed.cast(pa.binary()), none, none], names=names)
+        used = np.nonzero(sums)[0]
+        if len(used):
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([used], longs), pa.array([sums[used]], longs)], names=names
+            )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, used array<long>, n array<long>")
 
 
-def counts(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
+def counts(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column("ids"):
-                sums += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
-        used = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["id", "n"])
-
+    each = tokens.filter("used is not null").select(F.explode(F.arrays_zip("used", "n")).alias("x"))
     sums = np.zeros(size, np.int64)
-    for row in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        sums[row["id"]] = row["n"]  # one row an id of the vocabulary at most
+    for row in each.groupBy("x.used").agg(F.sum("x.n").alias("n")).collect():
+        sums[row["used"]] = row["n"]  # one row an id of the vocabulary at most
     return sums
 
 
@@ -288,7 +314,8 @@ def write(tokens: DataFrame, folder: str, kind: str, size: int) -> DataFrame:
     """
     spark = tokens.sparkSession
     make_dir(spark, folder)
-    lengths = spark.sparkContext.broadcast(code_lengths(counts(tokens, kind, size)))  # a byte an id of the vocabulary
+    lengths = spark.sparkContext.broadcast(code_lengths(counts(tokens, size)))  # a byte an id of the vocabulary
+    tokens = tokens.filter("ids is not null").select("doc_id", "ids")
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("ids")]
     dealt = tokens.repartitionByRange(*order).sortWithinPartitions(*order[:2], "ids")
 
@@ -365,4 +392,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
     size = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     tokens = materialize(token_table(docs, path, text, doc_id, end_id), "tokens")
-    return read(write(tokens, scratch(docs.sparkSession, "token-files"), kind, size))
+    manifest = write(tokens, scratch(docs.sparkSession, "token-files"), kind, size)
+    discard(tokens)
+    return read(manifest)

@@ -83,10 +83,11 @@ def test_any_vocabulary(tmp_path):
         path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(every)))
         own = bpe.Codec(str(path), tokenizers.PATTERN)
         words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 60))) for _ in range(60)] + [b"a" * 41, b"ab" * 30]
-        ids, counts = own._contract(words)
-        ends = np.cumsum(counts)
         want = [contracted_by_hand(own, w) for w in words]
-        assert [ids[a:z].tolist() for a, z in zip(ends - counts, ends, strict=True)] == want
+        for query in (bpe.CONTRACT, bpe.CONTRACT_MORE):
+            ids, counts = own._contract(words, query)
+            ends = np.cumsum(counts)
+            assert [ids[a:z].tolist() for a, z in zip(ends - counts, ends, strict=True)] == want
         assert [[i for x in xs for i in contracted_by_hand(own, x)] for xs in own._cuts(words)] == want
 
 
