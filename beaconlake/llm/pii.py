@@ -9,21 +9,27 @@ kind     found where                                                  what is pe
 ======== ============================================================ ===================================
 card     13-19 digits, spaces or hyphens between groups, Luhn sum     all but the first digit and the
          right, first digit 2-6                                       check digit, which is made anew
-iban     country, check digits right by mod 97                        letters and digits of the account
+iban     country, check digits right by mod 97; in lower case, also   letters and digits of the account
+         a length that its country has
 phone    + and 10-15 digits, or 3-3-4 digits with separators          all digits but the country's
 ssn      3-2-4 digits, area, group and serial in use                  all digits, among numbers in use
-ip       four octets of 0-255                                         the address, among those of its
-                                                                      kind (private, global, other)
-date     Y-M-D, D.M.Y, M/D/Y or D/M/Y, D Month Y, Month D, Y;         the day, from 1900 to 2099
-         a day of the calendar
+ip       four octets of 0-255                                         the address, within its block (see
+                                                                      ``BLOCKS``) or among all others
+date     Y-M-D, D.M.Y, M/D/Y or D/M/Y, D Month Y, Month D, Y, months  the day, from 1900 to 2099, among days
+         in full or cut to three letters; a day of the calendar       that are spelt alike
 email    local part and domain                                        letters and digits of the local
                                                                       part, each kind in its place
 ======== ============================================================ ===================================
 
+A day has one pseudonym in all spellings. It is permuted among days whose numbers have as many digits, whose day is above
+12 if its own is, and whose month is May if its own is (which reads alike in full and cut), so every spelling of the
+pseudonym can be read back, with or without leading zeros, and a day above 12 tells D/M/Y from M/D/Y. Where both could be
+meant, M/D/Y is read. Names of months keep their case and form; "Sept" comes back as "Sep".
+
 Numbers that break the rules of their format stay as they are, and so does all other text. Cards and IBANs are
 sought among all spans of whole groups in a run, so other groups beside them do not hide them; where spans overlap,
 the first and longest counts. Where a pseudonym and its neighbours would read as other values, it is permuted again
-and then differs from the same value's elsewhere.
+and then differs from the same value's elsewhere. There is no default key: who has the key can go back.
 
 Defined cases: a null text stays null with no findings; an empty one stays empty; texts of any length
 are worked on whole, in one task each; repeated rows give repeated rows; an empty table gives an empty
@@ -34,7 +40,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -46,8 +51,6 @@ from pyspark.sql import functions as F
 
 from beaconlake.llm.common import ship
 
-#: For tests and the registered query. A real corpus takes a key of its own.
-DEMO_KEY = b"a key for demonstrations only"
 ROUNDS = 10
 KINDS = ("card", "iban", "phone", "ssn", "ip", "date", "email")
 
@@ -100,14 +103,55 @@ def _put(shape: str, digits: str) -> str:
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
+#: IPv4 blocks with a meaning of their own (RFC 6890 and RFC 5771).
+BLOCKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _number(at: str) -> int:
+    a, b, c, d = map(int, at.split("."))
+    return a << 24 | b << 16 | c << 8 | d
+
+
+_RANGES = [(_number(at), 1 << 32 - int(bits)) for at, _, bits in (x.partition("/") for x in BLOCKS)]
+
+
+def _block(address: int) -> tuple[int, int] | None:
+    return next(((first, size) for first, size in _RANGES if first <= address < first + size), None)
+
+
+def _spelt_alike(day: dt.date) -> tuple[bool, bool, int]:
+    """What a day's pseudonym has in common with it."""
+    return day.month < 10, day.month == 5, (day.day >= 10) + (day.day > 12)
+
+
+def _like(new: int, old: str) -> str:
+    """A number with a leading zero if the old one had one."""
+    return str(new).zfill(len(old))
+
+
+def _in_case(new: str, old: str) -> str:
+    return new.upper() if old.isupper() else new.lower() if old.islower() else new
+
 
 class Pseudonyms:
     def __init__(self, key: bytes, back: bool = False) -> None:
         self.net, self.back = Feistel(key), back
-        names = "|".join(_MONTHS)
+        names = "(?i:" + "|".join([*_MONTHS, "Sept", *(m[:3] for m in _MONTHS)]) + r")\b\.?"
         self.pattern = re.compile(
             r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-            r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+            r"|(?P<iban>(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)(?![A-Za-z0-9]))"
             r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
             r"|(?P<iso>(?<![\d-])\d{4}-\d{2}-\d{2}(?!-?\d))"
             r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d))"
@@ -116,7 +160,7 @@ class Pseudonyms:
             rf"|(?P<day_month>(?<!\d)\d{{1,2}} (?:{names}),? \d{{4}}(?!\d))"
             rf"|(?P<month_day>\b(?:{names}) \d{{1,2}},? \d{{4}}(?!\d))"
             r"|(?P<one>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d))"
-            r"|(?P<plus>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,5}){2,4}(?!\d))"
+            r"|(?P<plus>(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d(?=[ .-]))?(?:[ .-]?\d{2,5}){2,5}(?!\d))"
             r"|(?P<phone>(?<![\d-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-]))"
             r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,}(?!\d))"
         )
@@ -146,10 +190,10 @@ class Pseudonyms:
         return "".join(reversed(out)) + "@" + domain
 
     def iban(self, at: str) -> str | None:
-        bare = at.replace(" ", "")
-        number = lambda s: int("".join(str(int(c, 36)) for c in s))
-        if not 15 <= len(bare) <= 34 or number(bare[4:] + bare[:4]) % 97 != 1:
+        bare = at.replace(" ", "").upper()
+        if not self.valid("iban", at):
             return None
+        number = lambda s: int("".join(str(int(c, 36)) for c in s))
         size, x, account = 1, 0, bare[4:]
         for c in account:
             base = 10 if c.isdigit() else 26
@@ -160,17 +204,20 @@ class Pseudonyms:
             x, r = divmod(x, 10 if c.isdigit() else 26)
             new = (str(r) if c.isdigit() else chr(65 + r)) + new
         new = bare[:2] + str(98 - number(new + bare[:2] + "00") % 97).zfill(2) + new
-        it = iter(new)
+        it = iter(_in_case(new, at))
         return "".join(c if c == " " else next(it) for c in at)
 
     def ip(self, at: str) -> str | None:
-        try:
-            own = ipaddress.IPv4Address(at)
-        except ValueError:
+        octets = at.split(".")
+        if any(int(o) > 255 or o != str(int(o)) for o in octets):
             return None
-        kind = lambda x: (x.is_private, x.is_global)
-        same = lambda x: kind(ipaddress.IPv4Address(x)) == kind(own)
-        return str(ipaddress.IPv4Address(self.net.permute(int(own), 1 << 32, "ip", self.back, same)))
+        own = _number(at)
+        block = _block(own)
+        if block:
+            new = block[0] + self.net.permute(own - block[0], block[1], f"ip|{block[0]}", self.back)
+        else:
+            new = self.net.permute(own, 1 << 32, "ip", self.back, lambda x: _block(x) is None)
+        return ".".join(str(new >> k & 255) for k in (24, 16, 8, 0))
 
     def _day(self, year: int, month: int, day: int) -> dt.date | None:
         try:
@@ -179,7 +226,9 @@ class Pseudonyms:
             return None
         if not 1900 <= year <= 2099:
             return None
-        return dt.date.fromordinal(_FIRST + self.net.permute(own.toordinal() - _FIRST, _DAYS, "date", self.back))
+        kind = _spelt_alike(own)
+        alike = lambda x: _spelt_alike(dt.date.fromordinal(_FIRST + x)) == kind
+        return dt.date.fromordinal(_FIRST + self.net.permute(own.toordinal() - _FIRST, _DAYS, "date", self.back, alike))
 
     def iso(self, at: str) -> str | None:
         new = self._day(*map(int, at.split("-")))
@@ -188,28 +237,32 @@ class Pseudonyms:
     def dotted(self, at: str) -> str | None:
         d, m, y = at.split(".")
         new = self._day(int(y), int(m), int(d))
-        return new and f"{new.day:02}.{new.month:02}.{new.year}"
+        return new and f"{_like(new.day, d)}.{_like(new.month, m)}.{new.year}"
 
     def slashed(self, at: str) -> str | None:
-        """Month first where that is a date, so that a pseudonym reads the way it was made."""
-        m, d, y = map(int, at.split("/"))
-        new = self._day(y, m, d)
+        """Month first where that is a date; a pseudonym reads the way it was made, as its day is above 12 if the own is."""
+        a, b, y = at.split("/")
+        new = self._day(int(y), int(a), int(b))
         if new:
-            return f"{new.month:02}/{new.day:02}/{new.year}"
-        other = self._day(y, d, m)
-        while other and other.day <= 12:
-            other = self._day(other.year, other.month, other.day)
-        return other and f"{other.day:02}/{other.month:02}/{other.year}"
-
-    def day_month(self, at: str) -> str | None:
-        d, m, y = at.replace(",", "").split(" ")
-        new = self._day(int(y), _MONTHS.index(m) + 1, int(d))
-        return new and f"{new.day} {_MONTHS[new.month - 1]}{',' * (',' in at)} {new.year}"
-
-    def month_day(self, at: str) -> str | None:
-        m, d, y = at.replace(",", "").split(" ")
-        new = self._day(int(y), _MONTHS.index(m) + 1, int(d))
-        return new and f"{_MONTHS[new.month - 1]} {new.day}{',' * (',' in at)} {new.year}"
+            return f"{_like(new.month, a)}/{_like(new.day, b)}/{new.year}"
+        new = self._day(int(y), int(b), int(a))
+        return new and f"{_like(new.day, a)}/{_like(new.month, b)}/{new.year}"
+
+    def _named(self, at: str) -> str | None:
+        day, name, year = re.search(r"(?<!\d)\d{1,2}(?!\d)", at), re.search(r"[A-Za-z]+", at), re.search(r"\d{4}$", at)
+        own = name[0].capitalize()
+        month = next(i for i, m in enumerate(_MONTHS, 1) if m.startswith(own[:3]))
+        new = self._day(int(year[0]), month, int(day[0]))
+        if new is None:
+            return None
+        shown = _MONTHS[new.month - 1]
+        shown = _in_case(shown if own in _MONTHS else shown[:3], name[0])
+        parts = sorted([(day.span(), _like(new.day, day[0])), (name.span(), shown), (year.span(), str(new.year))], reverse=True)
+        for (a, b), text in parts:
+            at = at[:a] + text + at[b:]
+        return at
+
+    day_month = month_day = _named
 
     def ssn(self, at: str) -> str | None:
         used = lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
@@ -239,14 +292,16 @@ class Pseudonyms:
         if kind == "card":
             digits = re.sub(r"\D", "", at)
             return 13 <= len(digits) <= 19 and digits[0] in "23456" and not luhn(digits)
-        bare = at.replace(" ", "")
+        bare = at.replace(" ", "").upper()
         if not 15 <= len(bare) <= 34 or not re.match(r"[A-Z]{2}\d{2}", bare):
             return False
+        if at.islower() and IBAN_LENGTHS.get(bare[:2]) != len(bare):
+            return False
         return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
     def spans(self, kind: str, at: str) -> list[tuple[int, int]]:
         """The valid values of a run that begin and end with its groups: from the left, the longest at each start."""
-        groups, signs = [m.span() for m in re.finditer(r"[0-9A-Z]+", at)], 19 if kind == "card" else 34
+        groups, signs = [m.span() for m in re.finditer(r"[0-9A-Za-z]+", at)], 19 if kind == "card" else 34
         out, i = [], 0
         while i < len(groups):
             begin, n, best = groups[i][0], 0, None
@@ -325,8 +380,10 @@ def _worked(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterat
         )
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", doc_id: str = "doc_id", back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_id", back: bool = False) -> DataFrame:
     """Per row: doc_id, the text with pseudonyms, and the number of values of each kind."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
@@ -337,6 +394,6 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", do
     return rows.mapInArrow(run, schema)
 
 
-def restore(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def restore(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """What :func:`pseudonymised` made, taken back."""
     return pseudonymised(docs, key, text, doc_id, back=True)

@@ -10,8 +10,12 @@ from beaconlake.llm import bpe, exact_dedup, huffman_ids, mixing, pii, quality_r
 from beaconlake.llm.common import table
 
 
+#: The query's key; a corpus takes one of its own, which is kept secret.
+DEMO_KEY = b"a key for demonstrations only"
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
