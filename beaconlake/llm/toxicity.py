@@ -8,8 +8,11 @@ cover the whole text; a document's score is that of its highest window, as in tr
 counts alike in a text of any length. The more windows a clean text has, the more chances of a false hit.
 
 Training takes a bounded sample of labelled rows: at most ``MOST_DOCS`` documents of each label, in
-order of a seeded hash, and at most ``MOST_WINDOWS`` windows of each, drawn on the executors. Of a toxic
-document, the highest window learns; of a clean one, all do. Gradients are worked out by hand.
+order of a seeded hash, and at most ``MOST_WINDOWS`` windows of each (texts of up to some 1,000 words whole), drawn
+on the executors. Of a toxic document, the highest window learns; of a clean one, all do. Gradients are worked out by
+hand. One document in ``SPARE`` is not learnt from: with these the logits are shifted so that at the threshold the
+share of toxic documents found, less ``ALARM`` times the share of clean ones above it, is greatest; the fewer toxic
+documents there are to tell by, the less they are shifted.
 
 Labels are learnt only from rows whose crc32(doc_id) modulo 3 is not 1. Language, source, doc_id and
 labels are no inputs of a score.
@@ -34,14 +37,18 @@ from pyspark.sql import functions as F
 from beaconlake.llm.bpe import blocks
 from beaconlake.llm.common import ship
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, POOL = 16, 8, 8
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
-MOST_DOCS, MOST_WINDOWS = 2500, 16
+MOST_DOCS, MOST_WINDOWS = 2500, 64
 STEPS, BATCH_DOCS, DOC_WINDOWS = 800, 48, 6
 SEED = 7
 THRESHOLD = 0.7
+#: One document in so many of the sample is for the threshold; and how much worse a false alarm is than a miss.
+SPARE, ALARM = 5, 3.0
+#: With so many toxic documents to tell the shift by, half of it is believed.
+FEW = 25
 #: Words whose inputs a worker remembers; windows that are scored at once.
 MOST_WORDS, BATCH = 400_000, 4096
 
@@ -107,6 +114,7 @@ class Network:
     def __init__(self, vocabulary: list[bytes], seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         self.words = {w: i for i, w in enumerate(vocabulary, 1)}
+        self.shift = 0.0
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.p = {
             "word": np.zeros((len(vocabulary) + 1, DIM), np.float32),
@@ -193,8 +201,37 @@ class Network:
         return grad, d_gates
 
 
+def threshold_shift(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """What to take from logits so that THRESHOLD parts clean documents from toxic ones, by their highest windows."""
+    if not len(clean) or not len(toxic):
+        return 0.0
+    every = np.unique(np.concatenate([clean, toxic]))
+    between = np.concatenate([every[:1] - 1, (every[1:] + every[:-1]) / 2, every[-1:] + 1])
+    found = 1 - np.searchsorted(np.sort(toxic), between) / len(toxic)
+    alarms = 1 - np.searchsorted(np.sort(clean), between) / len(clean)
+    worth = found - ALARM * alarms
+    best = between[worth >= worth.max() - 1e-9]
+    shift = float(best[len(best) // 2] - np.log(THRESHOLD / (1 - THRESHOLD)))
+    return shift * len(toxic) / (len(toxic) + FEW)
+
+
 def fit(windows: list[tuple[list[list[bytes]], int]], seed: int = SEED, steps: int = STEPS) -> Network | float:
     """The network, from (windows of words, label) per document; the rate of label 1 if only one label is there."""
+    spare = [x for i, x in enumerate(windows) if i % SPARE == 0]
+    rest = [x for i, x in enumerate(windows) if i % SPARE]
+    if len({y for _, y in rest}) < 2:
+        spare, rest = [], windows
+    net = _fit(rest, seed, steps)
+    if isinstance(net, Network) and spare:
+        own = Scorer(net)
+        logits = [own.logits([b" ".join(w) for w in ws] or [b""]) for ws, _ in spare]
+        highest = np.array([x.max() for x in logits])
+        labels = np.array([y for _, y in spare])
+        net.shift = threshold_shift(highest[labels == 0], highest[labels == 1])
+    return net
+
+
+def _fit(windows: list[tuple[list[list[bytes]], int]], seed: int, steps: int) -> Network | float:
     labels = np.array([y for _, y in windows], np.int64)
     if len(set(labels.tolist())) < 2:
         return float(labels.mean()) if len(labels) else 0.0
@@ -285,11 +322,11 @@ class Scorer:
             self.known.update(zip(part, range(self.n, self.n + len(part)), strict=True))
             self.n += len(part)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Per text, the logistic of the logit of its highest window."""
+    def logits(self, cleaned: list[bytes]) -> np.ndarray:
+        """Per cleaned text, the logit of its highest window."""
         if self.n > MOST_WORDS:
             self.forget()
-        parts = pc.split_pattern(pa.array(map(clean, texts), pa.large_binary()), b" ")
+        parts = pc.split_pattern(pa.array(cleaned, pa.large_binary()), b" ")
         units = parts.values.dictionary_encode()
         words = units.dictionary.to_pylist()
         self._learn(words)
@@ -300,7 +337,7 @@ class Scorer:
         flat = np.concatenate([flat[real], np.zeros(WINDOW, np.int64)])
         begin, n = upto[:-1], np.diff(upto)
         many = np.maximum(1, -(-(n - (WINDOW - STRIDE)) // STRIDE))  # as starts() has them
-        doc = np.repeat(np.arange(len(texts)), many)
+        doc = np.repeat(np.arange(len(cleaned)), many)
         own = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
         logits = np.empty(len(doc), np.float32)
         steps = np.arange(WINDOW)[:, None]
@@ -308,9 +345,11 @@ class Scorer:
             d, o = doc[at : at + BATCH], own[at : at + BATCH]
             place = np.minimum(begin[d] + o + steps, len(flat) - 1)
             logits[at : at + BATCH] = self.net.forward(self.gates, np.where(o + steps < n[d], flat[place], 0))
-        if not len(doc):
-            return np.empty(0)
-        return _sigmoid(np.maximum.reduceat(logits, np.cumsum(many) - many).astype(np.float64))
+        return np.maximum.reduceat(logits, np.cumsum(many) - many).astype(np.float64) if len(doc) else np.empty(0)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Per text, the logistic of the shifted logit of its highest window."""
+        return _sigmoid(self.logits([clean(t) for t in texts]) - self.net.shift)
 
 
 _scorers: dict[str, Scorer] = {}
@@ -348,8 +387,9 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> list[tuple[l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
     got = rows.mapInArrow(run, "doc_id long, words binary, toxic int").toArrow().to_pylist()
     out: dict[int, tuple[list[list[bytes]], int]] = {}
+    once: dict[bytes, bytes] = {}  # a word is held once, however often it occurs
     for row in sorted(got, key=lambda r: (r["doc_id"], r["words"])):
-        out.setdefault(row["doc_id"], ([], row["toxic"]))[0].append(row["words"].split())
+        out.setdefault(row["doc_id"], ([], row["toxic"]))[0].append([once.setdefault(w, w) for w in row["words"].split()])
     return list(out.values())
 
 
