@@ -13,78 +13,162 @@ SCOPES = (LOGS, SPANS, METRICS)
 #: The column that holds a row's own attributes.
 OWN = {LOGS: "log_attributes", SPANS: "span_attributes", METRICS: "metric_attributes"}
 
-# Label names, their aliases, places and uses, in the order in which they are shown.
-# Places are for logs, spans and metrics: col:x a column, low:x a column in lower case, res:k an attribute
-# of the resource, own:k[,k2] the first of the row's own attributes, int:k[,k2] the same as a whole number,
-# null a label that is never set, - none. Uses: P metric label names, S stream labels, J columns of log
-# rows; then the trace tag, or -.
-_TABLE = """
-service_name | service.name resource.service.name serviceName service-name | col:service_name col:service_name col:service_name | PSJ service.name
-service_namespace | service.namespace resource.service.namespace service-namespace | col:service_namespace col:service_namespace col:service_namespace | SJ service.namespace
-service_instance_id | service.instance.id resource.service.instance.id service-instance-id | col:service_instance_id col:service_instance_id col:service_instance_id | SJ service.instance.id
-deployment_environment | deployment.environment deployment_environment_name deployment-environment | res:deployment.environment res:deployment.environment res:deployment.environment | PSJ deployment.environment
-host_name | host.name resource.host.name host-name | res:host.name res:host.name res:host.name | SJ host.name
-k8s_cluster_name | k8s.cluster.name | res:k8s.cluster.name res:k8s.cluster.name res:k8s.cluster.name | . -
-k8s_node_name | k8s.node.name | res:k8s.node.name res:k8s.node.name res:k8s.node.name | . -
-k8s_statefulset_name | k8s.statefulset.name | res:k8s.statefulset.name res:k8s.statefulset.name res:k8s.statefulset.name | . -
-k8s_deployment_name | k8s.deployment.name | res:k8s.deployment.name res:k8s.deployment.name res:k8s.deployment.name | . k8s.deployment.name
-scope_name | instrumentationScope.name instrumentation_scope_name | col:scope_name - - | SJ -
-severity_text | severity.text | col:severity_text - - | SJ -
-trace_id | traceID | low:trace_id low:trace_id - | SJ traceID
-span_id | spanID | low:span_id low:span_id - | SJ spanID
-http_route | http.route http-route | own:http.route own:http.route own:http.route | SJ http.route
-http_method | http.method http.request.method http-method | own:http.request.method,http.method own:http.request.method,http.method own:http.request.method | SJ http.method
-http_status_code | http.status_code http.response.status_code http-status-code | int:http.response.status_code,http.status_code int:http.response.status_code,http.status_code - | J http.status_code
-http_response_status_code | http.response.status_code | - - own:http.response.status_code | . -
-span_name | span.name span-name name | - col:name own:span.name | . span.name
-status_code | status.code status | - col:status_code own:status.code | . status.code
-job | | - - null | . -
-instance | | - - null | . -
-state | | - - own:state | . -
-type | | - - own:type | . -
-cpu | | - - own:cpu | . -
-exporter | | - - own:exporter | . -
-receiver | | - - own:receiver | . -
-processor | | - - own:processor | . -
-otel_signal | | - - own:otel_signal | . -
-data_type | | - - own:data_type | . -
-postgresql_database_name | postgresql.database.name | - - own:postgresql.database.name | . -
-rpc_service | rpc.service | - own:rpc.service own:rpc.service | . rpc.service
-rpc_method | rpc.method | - own:rpc.method own:rpc.method | . rpc.method
-rpc_grpc_status_code | rpc.grpc.status_code | - own:rpc.grpc.status_code own:rpc.grpc.status_code | . rpc.grpc.status_code
-server_address | server.address | - own:server.address own:server.address | . server.address
-url_template | url.template | - - own:url.template | . -
-db_namespace | db.namespace | - own:db.namespace own:db.namespace | . db.namespace
-exception_type | exception.type | - own:exception.type - | . exception.type
-"""
-
 #: Labels of so many values that they are never listed.
 UNBOUNDED = frozenset({"trace_id", "span_id", "service_instance_id"})
 
 
 @dataclass(frozen=True)
-class Label:
-    name: str
-    aliases: tuple[str, ...]
-    places: dict[str, str]
-    uses: str
-    tag: str | None
+class Place:
+    """Where rows of a kind keep a label: kind says how the keys are read."""
+
+    kind: str
+    keys: tuple[str, ...] = ()
+
+
+def column(name: str) -> Place:
+    """A column."""
+    return Place("column", (name,))
+
+
+def lower(name: str) -> Place:
+    """A column in lower case."""
+    return Place("lower", (name,))
+
 
+def resource(key: str) -> Place:
+    """An attribute of the resource."""
+    return Place("resource", (key,))
 
-def _parse(line: str) -> Label:
-    name, aliases, places, uses = (x.strip() for x in line.split("|"))
-    flags, tag = uses.split()
-    found = {s: p for s, p in zip(SCOPES, places.split(), strict=True) if p != "-"}
-    return Label(name, tuple(aliases.split()), found, flags, None if tag == "-" else tag)
 
+def own(*keys: str) -> Place:
+    """The first of the row's own attributes that is there."""
+    return Place("own", keys)
 
-LABELS = tuple(_parse(x) for x in _TABLE.strip().split("\n"))
+
+def number(*keys: str) -> Place:
+    """The same as a whole number."""
+    return Place("number", keys)
+
+
+def unset() -> Place:
+    """A label that is never set."""
+    return Place("unset")
+
+
+@dataclass(frozen=True)
+class Label:
+    """A label, its other spellings, its place in each kind of row that has it, and where it is shown: as a metric's label,
+    as a stream label, as a column of log rows, as a tag of traces."""
+
+    name: str
+    aliases: tuple[str, ...] = ()
+    logs: Place | None = None
+    spans: Place | None = None
+    metrics: Place | None = None
+    metric_label: bool = False
+    stream_label: bool = False
+    log_column: bool = False
+    tag: str | None = None
+
+    def place(self, scope: str) -> Place | None:
+        return {LOGS: self.logs, SPANS: self.spans, METRICS: self.metrics}[scope]
+
+
+#: Label names, aliases, places and uses, in the order in which they are shown.
+LABELS = (
+    Label(
+        "service_name", ("service.name", "resource.service.name", "serviceName", "service-name"), logs=column("service_name"),
+        spans=column("service_name"), metrics=column("service_name"), metric_label=True, stream_label=True, log_column=True,
+        tag="service.name",
+    ),
+    Label(
+        "service_namespace", ("service.namespace", "resource.service.namespace", "service-namespace"),
+        logs=column("service_namespace"), spans=column("service_namespace"), metrics=column("service_namespace"),
+        stream_label=True, log_column=True, tag="service.namespace",
+    ),
+    Label(
+        "service_instance_id", ("service.instance.id", "resource.service.instance.id", "service-instance-id"),
+        logs=column("service_instance_id"), spans=column("service_instance_id"), metrics=column("service_instance_id"),
+        stream_label=True, log_column=True, tag="service.instance.id",
+    ),
+    Label(
+        "deployment_environment", ("deployment.environment", "deployment_environment_name", "deployment-environment"),
+        logs=resource("deployment.environment"), spans=resource("deployment.environment"),
+        metrics=resource("deployment.environment"), metric_label=True, stream_label=True, log_column=True,
+        tag="deployment.environment",
+    ),
+    Label(
+        "host_name", ("host.name", "resource.host.name", "host-name"), logs=resource("host.name"), spans=resource("host.name"),
+        metrics=resource("host.name"), stream_label=True, log_column=True, tag="host.name",
+    ),
+    Label(
+        "k8s_cluster_name", ("k8s.cluster.name",), logs=resource("k8s.cluster.name"), spans=resource("k8s.cluster.name"),
+        metrics=resource("k8s.cluster.name"),
+    ),
+    Label(
+        "k8s_node_name", ("k8s.node.name",), logs=resource("k8s.node.name"), spans=resource("k8s.node.name"),
+        metrics=resource("k8s.node.name"),
+    ),
+    Label(
+        "k8s_statefulset_name", ("k8s.statefulset.name",), logs=resource("k8s.statefulset.name"),
+        spans=resource("k8s.statefulset.name"), metrics=resource("k8s.statefulset.name"),
+    ),
+    Label(
+        "k8s_deployment_name", ("k8s.deployment.name",), logs=resource("k8s.deployment.name"),
+        spans=resource("k8s.deployment.name"), metrics=resource("k8s.deployment.name"), tag="k8s.deployment.name",
+    ),
+    Label(
+        "scope_name", ("instrumentationScope.name", "instrumentation_scope_name"), logs=column("scope_name"), stream_label=True,
+        log_column=True,
+    ),
+    Label("severity_text", ("severity.text",), logs=column("severity_text"), stream_label=True, log_column=True),
+    Label("trace_id", ("traceID",), logs=lower("trace_id"), spans=lower("trace_id"), stream_label=True, log_column=True, tag="traceID"),
+    Label("span_id", ("spanID",), logs=lower("span_id"), spans=lower("span_id"), stream_label=True, log_column=True, tag="spanID"),
+    Label(
+        "http_route", ("http.route", "http-route"), logs=own("http.route"), spans=own("http.route"), metrics=own("http.route"),
+        stream_label=True, log_column=True, tag="http.route",
+    ),
+    Label(
+        "http_method", ("http.method", "http.request.method", "http-method"), logs=own("http.request.method", "http.method"),
+        spans=own("http.request.method", "http.method"), metrics=own("http.request.method"), stream_label=True, log_column=True,
+        tag="http.method",
+    ),
+    Label(
+        "http_status_code", ("http.status_code", "http.response.status_code", "http-status-code"),
+        logs=number("http.response.status_code", "http.status_code"),
+        spans=number("http.response.status_code", "http.status_code"), log_column=True, tag="http.status_code",
+    ),
+    Label("http_response_status_code", ("http.response.status_code",), metrics=own("http.response.status_code")),
+    Label("span_name", ("span.name", "span-name", "name"), spans=column("name"), metrics=own("span.name"), tag="span.name"),
+    Label("status_code", ("status.code", "status"), spans=column("status_code"), metrics=own("status.code"), tag="status.code"),
+    Label("job", (), metrics=unset()),
+    Label("instance", (), metrics=unset()),
+    Label("state", (), metrics=own("state")),
+    Label("type", (), metrics=own("type")),
+    Label("cpu", (), metrics=own("cpu")),
+    Label("exporter", (), metrics=own("exporter")),
+    Label("receiver", (), metrics=own("receiver")),
+    Label("processor", (), metrics=own("processor")),
+    Label("otel_signal", (), metrics=own("otel_signal")),
+    Label("data_type", (), metrics=own("data_type")),
+    Label("postgresql_database_name", ("postgresql.database.name",), metrics=own("postgresql.database.name")),
+    Label("rpc_service", ("rpc.service",), spans=own("rpc.service"), metrics=own("rpc.service"), tag="rpc.service"),
+    Label("rpc_method", ("rpc.method",), spans=own("rpc.method"), metrics=own("rpc.method"), tag="rpc.method"),
+    Label(
+        "rpc_grpc_status_code", ("rpc.grpc.status_code",), spans=own("rpc.grpc.status_code"), metrics=own("rpc.grpc.status_code"),
+        tag="rpc.grpc.status_code",
+    ),
+    Label("server_address", ("server.address",), spans=own("server.address"), metrics=own("server.address"), tag="server.address"),
+    Label("url_template", ("url.template",), metrics=own("url.template")),
+    Label("db_namespace", ("db.namespace",), spans=own("db.namespace"), metrics=own("db.namespace"), tag="db.namespace"),
+    Label("exception_type", ("exception.type",), spans=own("exception.type"), tag="exception.type"),
+)
 
 
 @cache
 def aliases(scope: str) -> dict[str, str]:
     """Each spelling that the scope knows, and the label it means; names go before aliases of other labels."""
-    known = [x for x in LABELS if scope in x.places]
+    known = [x for x in LABELS if x.place(scope)]
     out = {x.name: x.name for x in known}
     for x in known:
         for a in x.aliases:
@@ -95,7 +179,7 @@ def aliases(scope: str) -> dict[str, str]:
 @cache
 def spellings(scope: str) -> tuple[str, ...]:
     """The same spellings in the registry's order: a label, then its aliases."""
-    return tuple(s for x in LABELS if scope in x.places for s in (x.name, *x.aliases))
+    return tuple(s for x in LABELS if x.place(scope) for s in (x.name, *x.aliases))
 
 
 def canonical(scope: str, spelling: str) -> str | None:
@@ -103,23 +187,23 @@ def canonical(scope: str, spelling: str) -> str | None:
 
 
 def names(scope: str) -> list[str]:
-    return [x.name for x in LABELS if scope in x.places]
+    return [x.name for x in LABELS if x.place(scope)]
 
 
 def stream_labels() -> list[str]:
-    return [x.name for x in LABELS if "S" in x.uses and LOGS in x.places]
+    return [x.name for x in LABELS if x.stream_label and x.logs]
 
 
 def log_columns() -> list[str]:
-    return [x.name for x in LABELS if "J" in x.uses and LOGS in x.places]
+    return [x.name for x in LABELS if x.log_column and x.logs]
 
 
 def metric_label_names() -> list[str]:
-    return ["__name__", *(x.name for x in LABELS if "P" in x.uses and METRICS in x.places)]
+    return ["__name__", *(x.name for x in LABELS if x.metric_label and x.metrics)]
 
 
 def tag_names() -> list[str]:
-    return sorted({s for x in LABELS if x.tag and SPANS in x.places for s in (x.tag, x.name, *x.aliases)})
+    return sorted({s for x in LABELS if x.tag and x.spans for s in (x.tag, x.name, *x.aliases)})
 
 
 def tag_name(spelling: str) -> str | None:
@@ -129,11 +213,11 @@ def tag_name(spelling: str) -> str | None:
 
 def listed(scope: str) -> list[tuple[str, str]]:
     """(name in the summary, label) of the labels whose values are listed."""
-    use = {LOGS: "S", METRICS: "P"}.get(scope)
     out = []
     for x in LABELS:
-        if scope in x.places and x.name not in UNBOUNDED and (use in x.uses if use else x.tag):
-            out.append((x.name if use else x.tag, x.name))
+        shown = {LOGS: x.stream_label and x.name, METRICS: x.metric_label and x.name, SPANS: x.tag}[scope]
+        if x.place(scope) and x.name not in UNBOUNDED and shown:
+            out.append((shown, x.name))
     return out
 
 
@@ -147,14 +231,14 @@ def whole(text: Column) -> Column:
     return F.round(text.try_cast("double")).try_cast("int")
 
 
-def place(scope: str, name: str) -> str | None:
-    return next((x.places.get(scope) for x in LABELS if x.name == name), None)
+def place(scope: str, name: str) -> Place | None:
+    return next((x.place(scope) for x in LABELS if x.name == name), None)
 
 
 def plain_column(scope: str, name: str) -> str | None:
     """The string column that holds the label as it is, if one does; filters on it reach the scan."""
     at = place(scope, name)
-    return at[4:] if at and at.startswith("col:") and not (scope == SPANS and name == "status_code") else None
+    return at.keys[0] if at and at.kind == "column" and not (scope == SPANS and name == "status_code") else None
 
 
 def expression(scope: str, name: str) -> Column:
@@ -162,14 +246,13 @@ def expression(scope: str, name: str) -> Column:
     at = place(scope, name)
     if at is None:
         raise KeyError(f"{scope} rows have no label {name}")
-    kind, _, keys = at.partition(":")
-    if kind == "col":
-        return F.col(keys)
-    if kind == "low":
-        return F.lower(F.col(keys))
-    if kind == "res":
-        return attribute("resource_attributes", keys)
-    if kind == "null":
+    if at.kind == "column":
+        return F.col(at.keys[0])
+    if at.kind == "lower":
+        return F.lower(F.col(at.keys[0]))
+    if at.kind == "resource":
+        return attribute("resource_attributes", at.keys[0])
+    if at.kind == "unset":
         return F.lit(None).cast("string")
-    found = [attribute(OWN[scope], k) for k in keys.split(",")]
-    return F.coalesce(*(map(whole, found) if kind == "int" else found))
+    found = [attribute(OWN[scope], k) for k in at.keys]
+    return F.coalesce(*(map(whole, found) if at.kind == "number" else found))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from beaconlake.functions import labels
 from beaconlake.plans import schema
 from beaconlake.plans.model import ApiError, LogPlan, Matcher, MetricPlan, Op, TracePlan
-from beaconlake.sources.tables import Tables
+from beaconlake.sources.tables import TRACE_KEY, Tables
 
 MOST_SPANS = 20_000
 
@@ -136,10 +136,12 @@ def check_trace_id(trace_id: str) -> str:
 def trace(trace_id: str, start, end, tables: Tables, full: bool = False) -> DataFrame:
     """The spans of a trace by start; full adds what the protobuf form needs.
 
-    Ids of either case match: the filter on both spellings reaches the scan, the one on lower() decides.
+    Ids of either case match. Stores written by :class:`ParquetTables` have the id in lower case as a column, and the
+    filter on it reaches the scan; in others ``lower()`` decides, within the days of the window.
     """
     trace_id = check_trace_id(trace_id)
-    df = tables.within(schema.SPANS, start, end).filter(F.lower("trace_id") == trace_id)
+    df = tables.within(schema.SPANS, start, end)
+    df = df.filter(F.col(TRACE_KEY) == trace_id) if TRACE_KEY in df.columns else df.filter(F.lower("trace_id") == trace_id)
     order = [F.col(c).asc_nulls_last() for c in ("start_time_unix_nano", "span_id")]
     df = df.orderBy(*order).limit(MOST_SPANS)
     span = lambda n: labels.expression(labels.SPANS, n).alias(n)

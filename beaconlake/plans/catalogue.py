@@ -122,7 +122,7 @@ def _metric_sql(table: str, metric: str, aggregation: str, groups: tuple[str, ..
     def at(label: str) -> str:
         return _METRIC_LABEL_SQL.get(label) or (
             "CAST(NULL AS VARCHAR)" if label in ("job", "instance") else labels.plain_column(labels.METRICS, label)
-            or _attr("resource_attributes" if labels.place(labels.METRICS, label).startswith("res:") else "metric_attributes", labels.place(labels.METRICS, label)[4:])
+            or _attr("resource_attributes" if labels.place(labels.METRICS, label).kind == "resource" else "metric_attributes", ",".join(labels.place(labels.METRICS, label).keys))
         )
 
     columns = "".join(f", {at(g)} AS {g}" for g in groups).replace("service_namespace AS", "CAST(NULL AS VARCHAR) AS").replace("service_instance_id AS", "CAST(NULL AS VARCHAR) AS")

@@ -24,6 +24,8 @@ from beaconlake.server.metrics import Metrics
 from beaconlake.sources.catalogs import CatalogTables, attach, storage_layout
 from beaconlake.sources.tables import Tables
 
+#: Scrapes read the stored gauges; counts and latest times of the tables are taken anew after so many seconds.
+MEASURE_SECONDS = 60.0
 MOST_LINE, MOST_HEADER_BYTES, MOST_HEADERS, MOST_KEPT_ALIVE, DRAIN_SECONDS = 8 << 10, 64 << 10, 100, 10_000, 30
 
 
@@ -103,6 +105,7 @@ class App:
         self.admission = Admission(config.query_concurrency, config.cheap_query_capacity, config.query_admission_wait_ms / 1000, self.metrics)
         self.adapters = Adapters(self.tables, Discovery(self.tables, self.cache), self._collect)
         self.last_error: str | None = None
+        self.measured = -MEASURE_SECONDS
 
     def _collect(self, df: DataFrame) -> list:
         return df.collect()
@@ -142,7 +145,9 @@ class App:
         if path == "/metrics":
             self.admission.record()
             try:
-                self.storage()
+                if time.monotonic() >= self.measured + MEASURE_SECONDS:
+                    self.storage()
+                    self.measured = time.monotonic()
             except Exception as error:
                 self.last_error = str(error).splitlines()[0]
             return Response(200, self.metrics.render().encode(), "text/plain; charset=utf-8")

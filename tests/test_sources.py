@@ -46,3 +46,24 @@ def test_columns_are_checked(spark):
     wrong = spark.createDataFrame([], schema.SCHEMAS[schema.SUM]).withColumn("name", __import__("pyspark").sql.functions.lit(1))
     with pytest.raises(schema.SchemaError, match="name is int"):
         schema.assert_schema(wrong, schema.SUM)
+
+
+def test_a_written_store_is_searched_by_trace(spark, sf, tmp_path):
+    """The id reaches the scan, whatever case it was written in, and the rows are those of the plain search."""
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from beaconlake.operators import compile as c
+    from beaconlake.plans import schema
+    from beaconlake.sources.tables import DictTables, FixtureTables, ParquetTables
+
+    spans = FixtureTables(spark, sf).table(schema.SPANS).withColumn("trace_id", F.when(F.col("kind") > 2, F.upper("trace_id")).otherwise(F.col("trace_id")))
+    store = ParquetTables(spark, str(tmp_path))
+    store.write(schema.SPANS, spans)
+    some = spans.select(F.lower("trace_id").alias("t")).orderBy("t").first()["t"]
+    bounds = datetime(1995, 1, 1), datetime(2002, 1, 1)
+    found = c.trace(some.upper(), *bounds, store)
+    assert f"EqualTo(trace_key,{some})" in found._jdf.queryExecution().executedPlan().toString()
+    plain = c.trace(some, *bounds, DictTables(spark, **{schema.SPANS: spans}))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count()
