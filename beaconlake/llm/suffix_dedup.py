@@ -9,7 +9,10 @@ A byte goes if it lies in a string of ``SPAN`` bytes that also starts in a docum
   that its windows reach, and which windows these are.
 * Runs. A task sorts the suffixes of a chunk of texts. Entries that agree in all their bytes are one for
   the documents of a chunk: the windows of all but the smallest document are repeats. What is left is
-  front-coded (the common prefix with the one before as a number), split by the anchor's gram, and sent.
+  front-coded (the common prefix with the one before as a number), cut at the splitters, and sent.
+* Splitters. A sample of the suffixes is put in order, and its range bounds part the order of all suffixes, so ranges in
+  order hold all entries in order. Entries are held against the bounds by their gram alone, so those that
+  can share a window are in one range.
 * Merge. The runs of a range go through a loser tree that keeps, with each loser, the common prefix with
   what beat it: the longer common prefix wins without a look at the bytes, and only at equal lengths are
   bytes compared, from that length on. The merge yields the common prefixes of neighbours.
@@ -17,8 +20,11 @@ A byte goes if it lies in a string of ``SPAN`` bytes that also starts in a docum
   whose longest common prefix (which a neighbour has) reaches far enough for one of their windows are
   taken apart into windows; equal windows meet by hash and are compared byte for byte.
 * Frequent anchors. Grams that a sample finds too often for one range send their windows as suffixes of
-  their own, dealt by all their bytes. So neither a passage that a third of all documents share nor the
-  different texts around it meet in one task.
+  their own, which are held against the splitters by all their bytes. So neither a passage that a third of all
+  documents share nor the many texts around a common phrase are one range's load.
+
+Entries that agree only in part are settled window by window: the common prefixes of the merge tell which windows can
+occur twice, equal ones meet by hash among these, and bytes decide.
 
 The covered ranges go to their documents by (doc_id, hash of the text), and the rest of each text is
 put together there. All exchanges are of packed runs, a row a run.
@@ -40,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import materialize, ship
+from beaconlake.llm.common import discard, materialize, ship
 
 SPAN, GRAM = 50, 14
 GRAMS = SPAN - GRAM + 1
@@ -48,8 +54,8 @@ LEFT = GRAMS - 1
 #: Bytes of text of a run, at least one text; and bytes of text that a range or bucket is for. Runs times ranges is
 #: the number of packed runs, so larger executors should take larger ones: a worker needs about 50 times as many bytes.
 CHUNK, SHARE = 8 << 20, 8 << 20
-#: One document in so many is looked at for sizes and frequent grams; the most grams that count as frequent.
-SAMPLE, MOST_FREQUENT = 64, 4096
+#: One document in so many is looked at for sizes, frequent grams and splitters, and one in so many of its suffixes for these.
+SAMPLE, THIN = 64, 8
 NO_ID = np.iinfo(np.int64).max
 _BLOCK = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
@@ -187,9 +193,20 @@ def same_whole(e: Entries, prefixes: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_runs(texts: list[bytes], ids: np.ndarray, frequent: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+def text_hash(text: bytes) -> int:
+    """What Spark's xxhash64 gives for the bytes."""
+    return xxhash.xxh64_intdigest(text, 42)
+
+
+def ranges_of(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The range of each row of bytes, among sorted splitters."""
+    return np.searchsorted(splitters, np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0], "right")
+
+
+def chunk_runs(texts: list[bytes], ids: np.ndarray, frequent: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(range, run) of a chunk of texts. A run is packed; see pack()."""
-    hashes = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32)
+    parts = len(splitters) + 1
+    hashes = np.array([text_hash(t) for t in texts], np.uint64)
     size = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(size)
     starts = ends - size
@@ -222,12 +239,10 @@ def chunk_runs(texts: list[bytes], ids: np.ndarray, frequent: np.ndarray, parts:
     repeat = ids[e.owner] > smallest[group]
     known = ranges(e.owner[repeat], (e.place - e.most)[repeat], (e.place - e.least)[repeat])
     e, gram = e.take(~repeat), gram[~repeat]
+    part = ranges_of(e.right[:, :GRAM], splitters)
     if len(frequent):
         whole = gram == 0
-        if whole.any():
-            gram = gram.copy()
-            gram[whole] = _side_hash(e.right[whole], np.zeros(int(whole.sum())))
-    part = ((gram >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+        part[whole] = ranges_of(e.right[whole], splitters)
     by_part = np.argsort(part, kind="stable")  # the order of suffixes stays
     bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
     of_known = known[0] % parts
@@ -257,7 +272,7 @@ def pack(e: Entries, known: tuple[np.ndarray, ...], ids: np.ndarray, hashes: np.
     left = e.left[np.arange(LEFT) < e.most[:, None]]
     n = len(e)
     columns = [
-        ids[used].astype("<i8"), hashes[used].astype("<u4"), prefixes, rest, e.least, e.most, left,
+        ids[used].astype("<i8"), hashes[used].astype("<u8"), prefixes, rest, e.least, e.most, left,
         number[:n].astype("<u4"), _narrow(e.place), number[n:].astype("<u4"), known[1].astype("<i8"), known[2].astype("<i8"),
     ]
     head = np.array([len(c) for c in columns] + [columns[8].itemsize], "<i8").tobytes()
@@ -269,7 +284,7 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype("<u4" if x.max(initial=0) < 1 << 32 else "<i8")
 
 
-_KINDS = ("<i8", "<u4", "u1", "u1", "u1", "u1", "u1", "<u4", "<i8", "<u4", "<i8", "<i8")
+_KINDS = ("<i8", "<u8", "u1", "u1", "u1", "u1", "u1", "<u4", "<i8", "<u4", "<i8", "<i8")
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
@@ -492,23 +507,23 @@ def merge_runs(runs: list[bytes]) -> tuple[np.ndarray, ...]:
     return all_ids[owner], all_hashes[owner], first, last
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The same as BUCKET in SQL."""
-    x = ids.astype(np.uint64)
+def bucket_of(ids: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The same as BUCKET in SQL: rows without a doc_id, or with one of many, are told apart by their texts."""
+    x = ids.astype(np.uint64) ^ hashes.astype(np.uint64)
     x = (x ^ (x >> np.uint64(15)) ^ (x >> np.uint64(31))).astype(np.int64)
     return np.mod(x, buckets)
 
 
-BUCKET = "cast(pmod({id} ^ shiftrightunsigned({id}, 15) ^ shiftrightunsigned({id}, 31), {n}L) as int)"
+BUCKET = "cast(pmod({x} ^ shiftrightunsigned({x}, 15) ^ shiftrightunsigned({x}, 31), {n}L) as int)"
 
 
-def _map_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, parts: int, chunk: int) -> Iterator[pa.RecordBatch]:
+def _map_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, splitters: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
     texts: list[bytes] = []
     ids: list[int] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for part, run in chunk_runs(texts, np.array(ids, np.int64), frequent, parts):
+        for part, run in chunk_runs(texts, np.array(ids, np.int64), frequent, splitters):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run], pa.binary())], names=["part", "run"])
 
     for batch in batches:
@@ -526,13 +541,13 @@ def _map_runs(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, parts: in
 
 def _reduce_runs(table: pa.Table, buckets: int) -> pa.Table:
     ids, hashes, first, last = merge_runs(table.column("run").to_pylist())
-    bucket = bucket_of(ids, buckets)
+    bucket = bucket_of(ids, hashes, buckets)
     order = np.argsort(bucket, kind="stable")
     bounds = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))[: len(order)]
     rows = []
     for a, z in zip(bounds, np.append(bounds[1:], len(order))[: len(bounds)], strict=True):
         w = order[a:z]
-        rows.append(zstandard.compress(b"".join(x[w].astype(k).tobytes() for x, k in ((ids, "<i8"), (hashes, "<u4"), (first, "<i8"), (last, "<i8"))), 1))
+        rows.append(zstandard.compress(b"".join(x[w].astype(k).tobytes() for x, k in ((ids, "<i8"), (hashes, "<u8"), (first, "<i8"), (last, "<i8"))), 1))
     return pa.table({"bucket": pa.array(bucket[order][bounds], pa.int32()), "found": pa.array(rows, pa.binary())})
 
 
@@ -549,8 +564,8 @@ def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
     parts: list[tuple[np.ndarray, ...]] = []
     for raw in found.column("found").to_pylist():
         raw = zstandard.decompress(raw)
-        n = len(raw) // 28
-        parts.append(tuple(np.frombuffer(raw, k, n, at * n) for k, at in (("<i8", 0), ("<u4", 8), ("<i8", 12), ("<i8", 20))))
+        n = len(raw) // 32
+        parts.append(tuple(np.frombuffer(raw, k, n, at * n) for k, at in (("<i8", 0), ("<u8", 8), ("<i8", 16), ("<i8", 24))))
     ids, hashes, first, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
     order = np.lexsort((hashes, ids))
     ids, hashes, first, last = ids[order], hashes[order], first[order], last[order]
@@ -560,7 +575,7 @@ def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
         own = NO_ID if doc_id is None else doc_id
         a, z = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
         if z > a:
-            h = xxhash.xxh32_intdigest(text)
+            h = np.uint64(text_hash(text))
             a, z = a + np.searchsorted(hashes[a:z], h), a + np.searchsorted(hashes[a:z], h, "right")
         removed, spans, kept = _cut(text, first[a:z], last[a:z])
         rows.append((doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -569,10 +584,11 @@ def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def plan_sizes(rows: DataFrame, share: int) -> tuple[int, np.ndarray]:
-    """Ranges (and buckets) to deal into, and grams too frequent for one range, both from a sample.
+def plan_ranges(rows: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters of the order of suffixes, and grams too frequent for one range, both from a sample.
 
-    What the sample misses costs time and never changes the result.
+    There are as many as ranges, and at most eight times as many. What the sample misses costs time and never changes
+    the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -580,20 +596,31 @@ def plan_sizes(rows: DataFrame, share: int) -> tuple[int, np.ndarray]:
             texts = [t.as_py() or b"" for t in batch.column(1)]
             size = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(size)
-            gram = anchors(np.frombuffer(b"".join(texts), np.uint8), ends - size, ends)[3]
+            whole = b"".join([*texts, bytes(SPAN)])
+            _, _, at, gram = anchors(np.frombuffer(whole, np.uint8)[: len(whole) - SPAN], ends - size, ends)
             found, n = np.unique(gram, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *found.astype(np.int64)], pa.int64()), pa.array([int(ends[-1]) if len(ends) else 0, *n], pa.int64())], names=["gram", "n"]
-            )
-
-    sums = rows.filter(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(SAMPLE)) == 0).mapInArrow(run, "gram long, n long")
-    sums = materialize(sums.groupBy("gram").agg(F.sum("n").alias("n")), "gram-sample")
+            some = [whole[i : i + SPAN] for i in at[_mix(at.astype(np.uint64)) % np.uint64(THIN) == 0].tolist()]
+            columns = [
+                pa.array([None, *found.astype(np.int64).tolist(), *[None] * len(some)], pa.int64()),
+                pa.array([int(size.sum()), *n.tolist(), *[None] * len(some)], pa.int64()),
+                pa.array([None] * (1 + len(found)) + some, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "n", "suffix"])
+
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(SAMPLE)) == 0)
+    sample = materialize(picked.mapInArrow(run, "gram long, n long, suffix binary"), "suffix-sample")
+    sums = sample.filter("n is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "gram-sample")
     total = SAMPLE * (sums.filter("gram is null").agg(F.sum("n")).first()[0] or 0)
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, -(-total // share)) | 1
     often = max(16, share // 20 // 8 // SAMPLE)  # an eighth of a range's entries
-    hot = sums.filter(F.col("gram").isNotNull() & (F.col("n") >= often)).orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()
-    return parts, np.array([r["gram"] for r in hot], np.int64).astype(np.uint64)
+    hot = sums.filter(F.col("gram").isNotNull() & (F.col("n") >= often)).select("gram").collect()
+    dealt = sample.filter("suffix is not null").select("suffix").repartitionByRange(parts, "suffix")
+    bounds = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("suffix").alias("least")).orderBy("least").collect()
+    discard(sample, sums)
+    splitters = np.unique(np.array([bytes(r["least"]) for r in bounds[1:]], f"S{SPAN}"))
+    return splitters, np.array([r["gram"] for r in hot], np.int64).astype(np.uint64)
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, share: int = SHARE) -> DataFrame:
@@ -601,17 +628,20 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: in
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    parts, frequent = plan_sizes(rows, share)
+    splitters, frequent = plan_ranges(rows, share)
+    parts = len(splitters) + 1
+    buckets = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _map_runs(batches, frequent, parts, chunk)
+        return _map_runs(batches, frequent, splitters, chunk)
 
     def reduce(table: pa.Table) -> pa.Table:
-        return _reduce_runs(table, parts)
+        return _reduce_runs(table, buckets)
 
     sent = rows.mapInArrow(runs, "part int, run binary")
     found = materialize(sent.groupBy("part").applyInArrow(reduce, "bucket int, found binary"), "repeats")
-    named = rows.withColumn("bucket", F.expr(BUCKET.format(id=f"coalesce(doc_id, {NO_ID}L)", n=parts)))
+    name = rows.withColumn("x", F.expr(f"coalesce(doc_id, {NO_ID}L) ^ xxhash64(coalesce(text, cast('' as binary)))"))
+    named = name.select("doc_id", "text", F.expr(BUCKET.format(x="x", n=buckets)).alias("bucket"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return named.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_apply, schema)
 

@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-import xxhash
 
 from beaconlake.llm import suffix_dedup as x
 
@@ -57,16 +56,19 @@ def test_runs_against_brute_force(trial):
         size = np.array([len(t) for t in own])
         gram = x.anchors(np.frombuffer(b"".join(own), np.uint8), np.cumsum(size) - size, np.cumsum(size))[3]
         frequent = np.unique(gram)[::3]
-    chunks, parts, runs = rng.choice([1, 2, 5]), rng.choice([1, 3]), {}
+    chunks, runs = rng.choice([1, 2, 5]), {}
+    every = b"".join(own)
+    bounds = {every[i : i + rng.choice([3, x.GRAM, x.SPAN])] for i in rng.sample(range(len(every)), min(len(every), rng.choice([0, 2, 9])))}
+    splitters = np.unique(np.array(sorted(bounds), f"S{x.SPAN}"))
     for c in range(chunks):
         which = range(c, len(own), chunks)
-        for p, r in x.chunk_runs([own[j] for j in which], np.array([ids[j] for j in which], np.int64), frequent, parts):
+        for p, r in x.chunk_runs([own[j] for j in which], np.array([ids[j] for j in which], np.int64), frequent, splitters):
             runs.setdefault(p, []).append(r)
     found = [x.merge_runs(r) for r in runs.values()] or [(np.empty(0, np.int64),) * 4]
     doc, text_hash, first, last = (np.concatenate(f) for f in zip(*found, strict=True))
     got = []
     for i, t in zip(ids, own, strict=True):
-        mine = (doc == i) & (text_hash == xxhash.xxh32_intdigest(t))
+        mine = (doc == i) & (text_hash == np.uint64(x.text_hash(t)))
         removed, spans, kept = x._cut(t, first[mine], last[mine])
         got.append((i, len(t), removed, spans, hashlib.sha256(kept).hexdigest()))
     assert got == by_hand(list(zip(ids, own, strict=True)))
@@ -103,6 +105,34 @@ def test_merge_never_looks_at_known_prefixes():
     assert order == [i % 3 for i in range(60)]
 
 
+def test_ranges_hold_the_order_of_suffixes():
+    """All entries of a range come before those of the next, by their grams."""
+    rng = random.Random(8)
+    own = [t for k in range(12) for t in texts(rng)]
+    ids = np.arange(len(own))
+    splitters = np.unique(np.array(sorted(rng.choice(own)[:20] + b"x" for _ in range(6)), f"S{x.SPAN}"))
+    span = {}
+    for c in range(3):
+        for p, run in x.chunk_runs(own[c::3], ids[c::3], NONE, splitters):
+            prefixes, rest = x.unpack(run)[2:4]
+            grams = [r[: x.GRAM].tobytes() for r in x.front_decode(prefixes, rest)]
+            if grams:
+                low, high = span.get(p, (grams[0], grams[0]))
+                span[p] = min(low, *grams), max(high, *grams)
+    order = [span[p] for p in sorted(span)]
+    assert len(order) > 2 and all(a[1] < b[0] for a, b in zip(order, order[1:]))
+
+
+def test_buckets_are_the_same_in_spark(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 3}") for i in range(-50, 50)] + [(None, "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.expr(f"coalesce(doc_id, {x.NO_ID}L) ^ xxhash64(cast(text as binary))"))
+    got = [r["b"] for r in df.select(F.expr(x.BUCKET.format(x="x", n=7)).alias("b")).collect()]
+    ids = np.array([x.NO_ID if i is None else i for i, _ in rows])
+    assert got == x.bucket_of(ids, np.array([x.text_hash(t.encode()) for _, t in rows], np.uint64), 7).tolist() and len(set(got)) > 3
+
+
 def test_front_coding():
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 3, (500, x.SPAN), dtype=np.uint8)
@@ -124,7 +154,7 @@ def test_rows(spark, monkeypatch):
 def test_ranges_without_repeats(spark):
     df = spark.createDataFrame([(i, f"{i} " * 40) for i in range(3)], "doc_id long, text string")
     assert [r["n_removed"] for r in x.dedup(df, share=50).collect()] == [0, 0, 0]
-    assert x._reduce_runs(x.pa.table({"run": [r for _, r in x.chunk_runs([b"z" * 60], np.array([1]), NONE, 1)]}), 3).num_rows == 0
+    assert x._reduce_runs(x.pa.table({"run": [r for _, r in x.chunk_runs([b"z" * 60], np.array([1]), NONE, np.empty(0, "S50"))]}), 3).num_rows == 0
 
 
 def test_frequent_grams_go_as_windows(spark, monkeypatch):
@@ -133,8 +163,8 @@ def test_frequent_grams_go_as_windows(spark, monkeypatch):
     licence = "Permission is hereby granted to any person who reads this line of text, and to all others. "
     rows = [(i, " ".join(str(rng.random()) for _ in range(rng.randint(0, 9))) + licence + str(rng.random())) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    parts, frequent = x.plan_sizes(df.selectExpr("doc_id", "cast(text AS binary) AS text"), share=1000)
-    assert parts >= 9 and len(frequent)
+    splitters, frequent = x.plan_ranges(df.selectExpr("doc_id", "cast(text AS binary) AS text"), share=1000)
+    assert len(splitters) >= 4 and len(frequent) and (splitters[1:] > splitters[:-1]).all()
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in x.dedup(df, chunk=2000, share=1000).collect()]
     assert sorted(got) == sorted(by_hand([(i, t.encode()) for i, t in rows]))
 
