@@ -48,7 +48,7 @@ THRESHOLD = 0.7
 #: One document in so many of the sample is for the threshold; and how much worse a false alarm is than a miss.
 SPARE, ALARM = 5, 3.0
 #: With so many toxic documents to tell the shift by, half of it is believed.
-FEW = 25
+FEW = 8
 #: Words whose inputs a worker remembers; windows that are scored at once.
 MOST_WORDS, BATCH = 400_000, 4096
 

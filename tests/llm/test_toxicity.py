@@ -96,7 +96,7 @@ def test_held_out_labels_are_not_read(spark, made):
 
 
 def test_the_threshold_parts_clean_from_toxic_documents(monkeypatch):
-    assert x.threshold_shift(np.array([5.0]), np.array([9.0])) == pytest.approx((7 - np.log(7 / 3)) / 26)
+    assert x.threshold_shift(np.array([5.0]), np.array([9.0])) == pytest.approx((7 - np.log(7 / 3)) / (1 + x.FEW))
     monkeypatch.setattr(x, "FEW", 0)
     at = np.log(x.THRESHOLD / (1 - x.THRESHOLD))
     assert 1.0 < at + x.threshold_shift(np.array([-4.0, -3.0, 1.0]), np.array([3.0, 6.0, 7.0])) < 3.0
