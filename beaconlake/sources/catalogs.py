@@ -127,11 +127,30 @@ class CatalogTables(Tables):
         self.metadata, self.root = metadata, root.rstrip("/")
 
     def live_files(self, name: str) -> list[str]:
-        """Paths of the table's live files; a file list is what any Parquet scan keeps on the driver."""
-        t = self.metadata("ducklake_table").filter(F.col("end_snapshot").isNull() & (F.col("table_name") == name)).select("table_id")
-        f = self.metadata("ducklake_data_file").filter(F.col("end_snapshot").isNull())
-        rows = f.join(t, "table_id", "left_semi").select("path").collect()
-        return [p if "://" in p or p.startswith("/") else f"{self.root}/{p}" for p in (r["path"] for r in rows)]
+        """Paths of the table's live files; a file list is what any Parquet scan keeps on the driver.
+
+        Refused are tables with rows deleted by files, which would come back, and with paths relative to folders of
+        schemas or tables, which are not followed.
+        """
+        t = self.metadata("ducklake_table").filter(F.col("end_snapshot").isNull() & (F.col("table_name") == name))
+        f = self.metadata("ducklake_data_file").filter(F.col("end_snapshot").isNull()).join(t.select("table_id"), "table_id", "left_semi")
+        if "path_is_relative" in t.columns and not t.filter(F.col("path_is_relative") & F.col("path").isNotNull() & (F.col("path") != "")).isEmpty():
+            raise CatalogError(f"{name} keeps its files relative to a folder of its own, which is not read")
+        if "delete_count" in f.columns and not f.filter("delete_count > 0").isEmpty():
+            raise CatalogError(f"{name} has deleted rows in its files, which are not read")
+        deletes = self.deletes()
+        if deletes is not None:
+            live = deletes.filter(F.col("end_snapshot").isNull()).join(t.select("table_id"), "table_id", "left_semi")
+            if not live.isEmpty():
+                raise CatalogError(f"{name} has delete files, which are not read")
+        return [p if "://" in p or p.startswith("/") else f"{self.root}/{p}" for p in (r["path"] for r in f.select("path").collect())]
+
+    def deletes(self) -> DataFrame | None:
+        """The catalog's list of delete files; None for metadata without one."""
+        try:
+            return self.metadata("ducklake_delete_file")
+        except KeyError:
+            return None
 
     def table(self, name: str) -> DataFrame:
         files = self.live_files(name)

@@ -67,3 +67,19 @@ def test_a_written_store_is_searched_by_trace(spark, sf, tmp_path):
     assert f"EqualTo(trace_key,{some})" in found._jdf.queryExecution().executedPlan().toString()
     plain = c.trace(some, *bounds, DictTables(spark, **{schema.SPANS: spans}))
     assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count()
+
+
+def test_catalogs_that_are_not_read_faithfully_are_refused(spark, tmp_path):
+    from beaconlake.plans import schema
+    from beaconlake.sources.catalogs import CatalogError, CatalogTables
+
+    tables = spark.createDataFrame([(1, schema.LOGS, None, "", True)], "table_id long, table_name string, end_snapshot long, path string, path_is_relative boolean")
+    files = spark.createDataFrame([(1, "a.parquet", None)], "table_id long, path string, end_snapshot long")
+    none = spark.createDataFrame([], "table_id long, end_snapshot long")
+    plain = {"ducklake_table": tables, "ducklake_data_file": files}
+    read = lambda **more: CatalogTables(spark, (plain | more).__getitem__, str(tmp_path)).live_files(schema.LOGS)
+    assert read() == read(ducklake_delete_file=none) == [f"{tmp_path}/a.parquet"]
+    with pytest.raises(CatalogError, match="delete files"):
+        read(ducklake_delete_file=spark.createDataFrame([(1, None)], "table_id long, end_snapshot long"))
+    with pytest.raises(CatalogError, match="relative"):
+        read(ducklake_table=tables.selectExpr("table_id", "table_name", "end_snapshot", "'logs/' AS path", "path_is_relative"))
