@@ -14,6 +14,17 @@ most two bits, all that differ in at most two share one, and a point has 65 of t
 are linked to the least, so no pairs of a large group are made. Components are found by star
 contraction over the links; nothing of the size of the corpus comes to the driver.
 
+:func:`one_alike` takes similarity in place of bits: five-word shingles, and texts whose sets of them have a
+Jaccard similarity of 0.8 or more. Such sets lie at an angle that makes about 77 of 512 bits differ, so it makes
+fingerprints of 512 bits, cuts them into 16 segments, and verifies candidates by the bits of the whole
+fingerprints (one standard deviation of their count is 8 bits, or 0.04 of similarity at the threshold). Segments
+that differ in one bit are of different parity, so those of odd parity are indexed by all their variants
+and those of even parity by themselves; two odd ones that differ in two bits meet as well. Pairs
+that differ in up to 31 bits share an entry for certain, those beyond by chance; `tests/llm/test_alike.py`
+holds the recall against brute force. Pairs are made in entries of up to ``ALIKE_CROWD``; in a larger one, all are
+compared with one member of its own, drawn by a hash of the entry, so that the hundreds of entries of a text compare it with as
+many others of a large group. What is only near others of a group and near none of these drawn stays: it is kept, never lost.
+
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; a null doc_id sorts after all others;
 repeated rows share a fingerprint and a component; an empty table gives an empty result; extra
@@ -22,6 +33,7 @@ columns of any name are carried by :func:`one_of_each` and left out by :func:`ne
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +51,35 @@ SEED = 42
 CROWD = 64
 _BLOCK = 1 << 16
 
+ALIKE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_BITS = 512
+#: Pairs are made within an index entry of so many wide fingerprints at most.
+ALIKE_CROWD = 16
+#: So many shared index keys of 8 bytes go to all executors at most; more are joined by a shuffle.
+MOST_KEYS = 500_000
+_LANES = WIDE_BITS // 64
+#: SplitMix64 makes the lanes of a wide fingerprint from one hash a shingle.
+_STEPS = (np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+#: The eight bits of a byte as the eight bytes of a number.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint as a signed 64-bit integer."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in _hashes(text, shingle):
+        bits = np.unpackbits(hashes.reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(bits)
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
+
+
+def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The bytes of the shingles' hashes, in blocks; none of a text without words."""
     words = text.lower().split()  # both are ASCII-only for bytes
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= shingle:
         starts, ends = [0], [len(joined)]
@@ -52,13 +87,26 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         after = np.cumsum([len(w) + 1 for w in words])
         starts = [0, *after[: len(words) - shingle].tolist()]
         ends = (after[shingle - 1 :] - 1).tolist()
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_digest
     for at in range(0, len(starts), _BLOCK):
-        hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)])
-        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts)).view(">i8")[0])
+        made = [digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)]
+        yield np.frombuffer(b"".join(made), dtype=np.uint8)
+
+
+def wide_fingerprint(text: bytes, shingle: int = ALIKE_SHINGLE) -> list[int]:
+    """The fingerprint of a text's set of shingles: WIDE_BITS bits as signed 64-bit integers, all zero without words."""
+    blocks = [b.view(np.uint64) for b in _hashes(text, shingle)]
+    if not blocks:
+        return [0] * _LANES
+    hashes = np.unique(np.concatenate(blocks))
+    ones = np.zeros(WIDE_BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 ones fit the bytes that they are counted in
+        mixed = hashes[at : at + 255, None] + _STEPS
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        ones += _SPREAD[mixed.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(">i8").tolist()
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,3 +192,77 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cro
     rows = located(docs)
     gone = grouped(rows, text, doc_id, crowd).filter(F.col("row") != F.col("first")).select("row.at")
     return rows.join(gone, F.col("loc") == F.col("at"), "left_anti").select("doc.*")
+
+
+def most_bits(similarity: float) -> int:
+    """How many bits differ, as expected, between wide fingerprints of sets of this Jaccard similarity and of like sizes."""
+    return int(WIDE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        made = pa.array([wide_fingerprint(t.as_py() or b"") for t in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=["row", "fp"])
+
+
+def _differing(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(_LANES))
+
+
+def _alike_entries(prints: DataFrame) -> DataFrame:
+    """Index entries (key, id) of wide fingerprints: a segment of odd parity and all its variants, one of even parity itself."""
+    halves = "transform(sequence(0, {}), k -> IF(k % 2 = 0, fp[k div 2] & 4294967295L, shiftrightunsigned(fp[k div 2], 32)))"
+    parts = prints.select("id", F.posexplode(F.expr(halves.format(2 * _LANES - 1))).alias("side", "part"))
+    variants = (
+        "IF(bit_count(part) % 2 = 1, transform(sequence(0, 32), i -> IF(i = 32, part, part ^ shiftleft(1L, i))), array(part))"
+    )
+    keys = parts.select("id", "side", F.explode(F.expr(variants)).alias("part"))
+    return keys.select("id", F.expr("part | shiftleft(cast(side AS BIGINT), 32)").alias("key"))
+
+
+def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD) -> DataFrame:
+    """Links (a, b) between ids of wide fingerprints (columns id and fp) that are alike."""
+    entries = _alike_entries(prints)
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("drawn"))
+    sizes = materialize(sizes.filter("n > 1").select("key", "n", F.col("drawn.id").alias("drawn")), "keys")
+    known = F.broadcast(sizes) if sizes.count() <= MOST_KEYS else sizes
+    shared = materialize(entries.join(known, "key").join(prints, "id"), "entries")
+    near = f"{_differing('fp_a', 'fp_b')} <= {most_bits(similarity)}"
+    few = shared.filter(F.col("n") <= crowd)
+    a = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fp_a"))
+    b = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fp_b"))
+    pairs = a.join(b, "key").filter("a < b").filter(near).select("a", "b")
+    many = shared.filter((F.col("n") > crowd) & (F.col("id") != F.col("drawn")))
+    to = many.select(F.col("drawn").alias("a"), F.col("id").alias("b"), F.col("fp").alias("fp_b")).distinct()
+    heads = prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"))
+    found = materialize(pairs.union(to.join(heads, "a").filter(near).select("a", "b")).distinct(), "links")
+    discard(sizes, shared)
+    return found
+
+
+def alike(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of :func:`located`: row, and first, the row struct that comes first among those alike, over links.
+
+    Fingerprints are named by 64-bit hashes of theirs.
+    """
+    ship(located_rows.sparkSession)
+    named = located_rows.select(row_name(doc_id).alias("row"), of(text).cast("binary").alias("text"))
+    made = named.mapInArrow(_wide, f"row {named.schema['row'].dataType.simpleString()}, fp array<long>")
+    rows = materialize(made.withColumn("id", F.xxhash64("fp")), "fingerprints")
+    firsts = materialize(rows.groupBy("id").agg(F.min("row").alias("first"), F.min("fp").alias("fp")), "prints")
+    links_ = alike_links(firsts.select("id", "fp"), similarity)
+    roots = components(links_)
+    discard(links_)
+    rooted = firsts.join(roots, firsts["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = materialize(rooted.select("id", "root").join(least, "root").select("id", "first"), "components")
+    discard(firsts, roots)
+    return rows.select("row", "id").join(named, "id").select("row", "first")
+
+
+def one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """Of each group of texts alike the row with the smallest doc_id, with the columns of docs."""
+    rows = located(docs)
+    gone = alike(rows, text, doc_id, similarity).filter(F.col("row") != F.col("first")).select("row.at")
+    return rows.join(gone, F.col("loc") == F.col("at"), "left_anti").select("doc.*")

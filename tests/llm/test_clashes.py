@@ -46,7 +46,7 @@ def clashing(docs, path, names):
 
 
 FILTERS = {
-    "quality": quality_rules.keep_good, "exact": exact_dedup.drop_copies, "near": simhash.one_of_each, "mixed": mixing.mixed,
+    "quality": quality_rules.keep_good, "exact": exact_dedup.drop_copies, "near": simhash.one_of_each, "alike": simhash.one_alike, "mixed": mixing.mixed,
 }
 
 

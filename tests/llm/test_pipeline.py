@@ -15,7 +15,7 @@ def test_run_against_plain_steps(spark, sf):
     tiktoken = pytest.importorskip("tiktoken")
     public = pytest.importorskip("public_tokenizers")
     from test_quality import by_hand as counts
-    from test_simhash import components_by_hand, print_by_hand
+    from test_alike import wide_by_hand
 
     from beaconlake.llm.bpe import load_ranks
 
@@ -27,8 +27,8 @@ def test_run_against_plain_steps(spark, sf):
         if norm not in seen:
             seen.add(norm)
             exact.append((i, t, s))
-    root = components_by_hand([print_by_hand(t) for _, t, _ in exact])
-    near = {exact[k][0]: exact[k][1] for k, r in enumerate(root) if r == k}
+    prints = [sum(v << 64 * k for k, v in enumerate(wide_by_hand(t))) for _, t, _ in exact]
+    near = {exact[k][0]: exact[k][1] for k, p in enumerate(prints) if not any((p ^ q).bit_count() <= 77 for q in prints[:k])}
 
     library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=load_ranks(public.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     got = corpus_pipeline.run(spark, sf).collect()
