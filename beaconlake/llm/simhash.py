@@ -224,8 +224,7 @@ def _alike_entries(prints: DataFrame) -> DataFrame:
 def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD) -> DataFrame:
     """Links (a, b) between ids of wide fingerprints (columns id and fp) that are alike."""
     entries = _alike_entries(prints)
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("drawn"))
-    sizes = materialize(sizes.filter("n > 1").select("key", "n", F.col("drawn.id").alias("drawn")), "keys")
+    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     known = F.broadcast(sizes) if sizes.count() <= MOST_KEYS else sizes
     shared = materialize(entries.join(known, "key").join(prints, "id"), "entries")
     near = f"{_differing('fp_a', 'fp_b')} <= {most_bits(similarity)}"
@@ -233,8 +232,10 @@ def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int =
     a = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fp_a"))
     b = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fp_b"))
     pairs = a.join(b, "key").filter("a < b").filter(near).select("a", "b")
-    many = shared.filter((F.col("n") > crowd) & (F.col("id") != F.col("drawn")))
-    to = many.select(F.col("drawn").alias("a"), F.col("id").alias("b"), F.col("fp").alias("fp_b")).distinct()
+    many = shared.filter(F.col("n") > crowd)
+    drawn = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("drawn"))
+    to = many.join(drawn, "key").select(F.col("drawn.id").alias("a"), F.col("id").alias("b"), F.col("fp").alias("fp_b"))
+    to = to.filter("a <> b").distinct()
     heads = prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"))
     found = materialize(pairs.union(to.join(heads, "a").filter(near).select("a", "b")).distinct(), "links")
     discard(sizes, shared)
