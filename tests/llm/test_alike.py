@@ -94,24 +94,29 @@ def test_all_links_of_few_bits(spark, monkeypatch, most_keys):
 
 
 def test_recall_and_clean_documents(spark):
-    """Copies of 0.8 and more against brute force; what is under 0.7 is never linked."""
+    """Copies of 0.8 and more against brute force. The border is soft: a few pairs under 0.7 are linked, too, none under 0.6."""
     rng = random.Random(8)
     texts = []
-    for k in range(120):
+    for k in range(240):
         base = words(rng, rng.choice([60, 150, 400]))
-        texts += [base, edited(rng, base, max(1, int(len(base) * (k % 8) * 0.004)))]
+        texts += [base, edited(rng, base, max(1, int(len(base) * (k % 16) * 0.004)))]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     sets = [shingles(t) for _, t in rows]
     kept = {r["doc_id"] for r in simhash.one_alike(spark.createDataFrame(rows, COLUMNS)).collect()}
-    alike = {"0.8": [], "0.9": []}
+    alike, between, wrong, clean = {"0.8": [], "0.9": []}, [], [], 0
     for i in range(0, len(rows), 2):
         s = similarity(sets[i], sets[i + 1])
         assert i in kept
         if s >= 0.8:
             alike["0.9" if s >= 0.9 else "0.8"].append(i + 1 not in kept)
         elif s < 0.7:
-            assert i + 1 in kept
-    print({k: (sum(v), len(v)) for k, v in alike.items()})
+            clean += 1
+            if i + 1 not in kept:
+                wrong.append(round(s, 3))
+        else:
+            between.append(i + 1 not in kept)
+    print({k: (sum(v), len(v)) for k, v in alike.items()}, "0.7 to 0.8:", (sum(between), len(between)), "below:", wrong, clean)
+    assert clean > 20 and len(wrong) <= 0.05 * clean and all(s > 0.6 for s in wrong)
     assert sum(alike["0.9"]) >= 0.95 * len(alike["0.9"]) and len(alike["0.9"]) > 20
     assert sum(alike["0.8"]) >= 0.5 * len(alike["0.8"]) and len(alike["0.8"]) > 10
 
