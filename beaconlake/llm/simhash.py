@@ -12,7 +12,7 @@ fingerprints to an entry are joined with each other. Those of a larger entry, wh
 square, are indexed by the points within one bit of them instead: fingerprints that share a point differ in at
 most two bits, all that differ in at most two share one, and a point has 65 of them at most. These
 are linked to the least, so no pairs of a large group are made. Components are found by star
-contraction over the links; nothing of the size of the corpus comes to the driver.
+contraction over the links; nothing of the size of the corpus comes to the driver, and no join may broadcast it.
 
 :func:`one_alike` takes similarity in place of bits: five-word shingles, and texts whose sets of them have a
 Jaccard similarity of 0.8 or more. Such sets lie at an angle that makes about 77 of 512 bits differ, so it makes
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import discard, located, materialize, of, row_name, ship
+from beaconlake.llm.common import MOST_SENT, discard, located, materialize, of, row_name, ship, unsent
 from beaconlake.llm.graph import components
 
 SHINGLE = 3
@@ -143,11 +143,11 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) that differ in two bits or fewer."""
     entries = _entries(prints)
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(entries.join(sizes, "key"), "entries")
+    shared = materialize(entries.join(unsent(sizes), "key"), "entries")
     few = shared.filter(F.col("n") <= crowd)
     a = few.filter("bit <> 1").select("key", F.col("fp").alias("a"), F.col("bit").alias("bit_a"))
     b = few.filter("bit <> 0").select("key", F.col("fp").alias("b"), F.col("bit").alias("bit_b"))
-    met = a.join(b, "key").filter("(bit_a = 0 and bit_b = 1) or (bit_a = 2 and bit_b = 2 and a < b)")
+    met = a.join(unsent(b), "key").filter("(bit_a = 0 and bit_b = 1) or (bit_a = 2 and bit_b = 2 and a < b)")
     pairs = met.filter("bit_count(a ^ b) <= 2").select("a", "b")
 
     many = shared.filter(F.col("n") > crowd).select("fp").distinct()
@@ -157,7 +157,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n"))
     least = materialize(least.filter("n > 1"), "points")
     two = least.filter("n = 2").select("a", F.col("z").alias("b"))
-    more = points.join(least.filter("n > 2"), "point").select("a", F.col("fp").alias("b"))
+    more = points.join(unsent(least.filter("n > 2")), "point").select("a", F.col("fp").alias("b"))
     near = two.union(more).filter("a <> b and bit_count(a ^ b) <= 2")
     found = materialize(pairs.union(near).distinct(), "links")
     discard(shared, least)
@@ -168,14 +168,17 @@ def grouped(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """Per row of :func:`located`: row, fp, first (the row struct that comes first in its component)."""
     rows = materialize(fingerprinted(located_rows, text, doc_id), "fingerprints")
     firsts = materialize(rows.groupBy("fp").agg(F.min("row").alias("first")), "prints")
+    n = firsts.count()
     roots = components(links(firsts.select("fp"), crowd))
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
+    rooted = firsts.join(unsent(roots, n), firsts["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "first"), "components")
-    discard(firsts, roots)
-    return rows.join(named, "fp")
+    if n > MOST_SENT:  # between two shuffled sides a large component splits as a skewed join does
+        least = materialize(least, "least")
+    named = materialize(rooted.select("fp", "root").join(unsent(least, n), "root").select("fp", "first"), "components")
+    discard(firsts, roots, least)
+    return rows.join(unsent(named, n), "fp")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", crowd: int = CROWD) -> DataFrame:
@@ -191,7 +194,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cro
     """Of each component the row with the smallest doc_id, with the columns of docs."""
     rows = located(docs)
     gone = grouped(rows, text, doc_id, crowd).filter(F.col("row") != F.col("first")).select("row.at")
-    return rows.join(gone, F.col("loc") == F.col("at"), "left_anti").select("doc.*")
+    return rows.join(unsent(gone), F.col("loc") == F.col("at"), "left_anti").select("doc.*")
 
 
 def most_bits(similarity: float) -> int:

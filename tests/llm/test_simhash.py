@@ -109,3 +109,31 @@ def test_query_against_brute_force(spark, sf):
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     assert [f for _, f, _ in got] == [print_by_hand(texts[i]) for i, _, _ in got]
     assert [c for _, _, c in got] == [got[w][0] for w in components_by_hand([f for _, f, _ in got])]
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, monkeypatch):
+    """However small the compressed files look: beyond MOST_SENT rows no join broadcasts."""
+    from beaconlake.llm import common
+
+    plans = []
+    write = simhash.materialize
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    for module in (common, simhash, graph):
+        monkeypatch.setattr(module, "MOST_SENT", 0, raising=False)
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "materialize", seen)
+    rng = random.Random(10)
+    long = [" ".join(rng.choice(["al", "be", "ga", "de"]) + str(rng.randrange(9)) for _ in range(400)) for _ in range(8)]
+    rows = [(i, long[i % 8] + " more" * (i // 8)) for i in range(24)]
+    near = simhash.near_groups(spark.createDataFrame(rows, COLUMNS))
+    plans.append(("groups", near._jdf.queryExecution().executedPlan().toString()))
+    got = {r["doc_id"]: r["component_id"] for r in near.collect()}
+    prints = [print_by_hand(t) for _, t in rows]
+    want = components_by_hand(prints)
+    assert got == dict(enumerate(want)) and len(set(want)) < len(set(prints))
+    assert len(plans) > 8 and [name for name, plan in plans if "Broadcast" in plan] == []
+    assert [name for name, plan in plans if "Join" in plan]
