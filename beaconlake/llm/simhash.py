@@ -21,9 +21,12 @@ fingerprints (one standard deviation of their count is 8 bits, or 0.04 of simila
 that differ in one bit are of different parity, so those of odd parity are indexed by all their variants
 and those of even parity by themselves; two odd ones that differ in two bits meet as well. Pairs
 that differ in up to 31 bits share an entry for certain, those beyond by chance; `tests/llm/test_alike.py`
-holds the recall against brute force. Pairs are made in entries of up to ``ALIKE_CROWD``; in a larger one, all are
-compared with one member of its own, drawn by a hash of the entry, so that the hundreds of entries of a text compare it with as
-many others of a large group. What is only near others of a group and near none of these drawn stays: it is kept, never lost.
+holds the recall against brute force. Pairs are made in entries of up to ``ALIKE_CROWD``; in a larger one, all are first
+compared with one member of its own, drawn by a hash of the entry. An entry whose members have come to one component by these
+links, over any entries, is settled. Of any other, all members outside its most frequent component are compared
+with all members of other components, so both ways lose no link between components and ``crowd`` changes the cost alone (a property test holds
+them against brute force). A large group of near copies costs its size; an entry of many texts that are not alike costs their square,
+spread over tiles.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; a null doc_id sorts after all others;
@@ -56,6 +59,10 @@ SIMILARITY = 0.8
 WIDE_BITS = 512
 #: Pairs are made within an index entry of so many wide fingerprints at most.
 ALIKE_CROWD = 16
+#: Members of a larger one that are not linked otherwise are compared in tiles of so many by so many.
+TILE = 1024
+#: A task makes the some 270 index entries each of so many wide fingerprints.
+PRINTS_A_TASK = 4096
 #: So many shared index keys of 8 bytes go to all executors at most; more are joined by a shuffle.
 MOST_KEYS = 500_000
 _LANES = WIDE_BITS // 64
@@ -224,27 +231,62 @@ def _alike_entries(prints: DataFrame) -> DataFrame:
     return keys.select("id", F.expr("part | shiftleft(cast(side AS BIGINT), 32)").alias("key"))
 
 
-def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD) -> DataFrame:
-    """Links (a, b) between ids of wide fingerprints (columns id and fp) that are alike."""
-    entries = _alike_entries(prints)
+def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between ids of wide fingerprints (columns id and fp) that connect all that are alike and share an entry."""
+    n = prints.count()
+    entries = _alike_entries(prints.repartition(n // PRINTS_A_TASK + 1, "id"))
     sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
-    known = F.broadcast(sizes) if sizes.count() <= MOST_KEYS else sizes
-    shared = materialize(entries.join(known, "key").join(prints, "id"), "entries")
+    known = F.broadcast(sizes) if sizes.count() <= MOST_KEYS else unsent(sizes)
+    shared = materialize(entries.join(known, "key").join(unsent(prints, n), "id"), "entries")
     near = f"{_differing('fp_a', 'fp_b')} <= {most_bits(similarity)}"
     few = shared.filter(F.col("n") <= crowd)
     a = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fp_a"))
     b = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fp_b"))
-    pairs = a.join(b, "key").filter("a < b").filter(near).select("a", "b")
+    pairs = a.join(unsent(b), "key").filter("a < b").filter(near).select("a", "b").distinct()
+    n_many = sizes.filter(F.col("n") > crowd).count()
+    if not n_many:
+        found = materialize(pairs, "links")
+        discard(sizes, shared)
+        return found
     many = shared.filter(F.col("n") > crowd)
     drawn = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("drawn"))
-    to = many.join(drawn, "key").select(F.col("drawn.id").alias("a"), F.col("id").alias("b"), F.col("fp").alias("fp_b"))
+    drawn = materialize(drawn, "drawn")
+    to = many.join(unsent(drawn, n_many), "key").select(F.col("drawn.id").alias("a"), F.col("id").alias("b"), F.col("fp").alias("fp_b"))
     to = to.filter("a <> b").distinct()
     heads = prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"))
-    found = materialize(pairs.union(to.join(heads, "a").filter(near).select("a", "b")).distinct(), "links")
-    discard(sizes, shared)
+    first = materialize(pairs.union(to.join(unsent(heads, n), "a").filter(near).select("a", "b")).distinct(), "links")
+    found = materialize(first.union(_crossing(many, first, near, n, tile)), "links")
+    discard(sizes, shared, drawn, first)
     return found
 
 
+def _crossing(many: DataFrame, linked: DataFrame, near: str, n: int, tile: int) -> DataFrame:
+    """The links that ``linked`` lacks in entries (key, id, fp): one for each two of its components that are alike in an entry.
+
+    All of an entry that are not of its most frequent component are compared with all of it, in tiles of about ``tile`` by ``tile``.
+    """
+    roots = components(linked)
+    rooted = many.join(unsent(roots, n), F.col("id") == F.col("node"), "left")
+    members = materialize(rooted.select("key", "id", "fp", F.coalesce("root", "id").alias("root")), "members")
+    sums = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    sums = sums.agg(F.max(F.struct("n", "root")).alias("home"), F.sum("n").alias("n")).filter("home.n < n")
+    blocks = [F.ceil(F.expr(f"({size}) / {tile}")).alias(name) for size, name in (("n - home.n", "rows"), ("n", "cols"))]
+    unsettled = materialize(sums.select("key", F.col("home.root").alias("home"), *blocks), "unsettled")
+    dealt = members.join(unsent(unsettled, unsettled.count()), "key").withColumn("h", F.xxhash64("id"))
+    one = dealt.filter("root <> home").selectExpr(
+        "key", "id AS a", "fp AS fp_a", "root AS root_a", "pmod(h, rows) AS i", "explode(sequence(0L, cols - 1)) AS j"
+    )
+    two = dealt.selectExpr(
+        "key", "id AS b", "fp AS fp_b", "root AS root_b", "root = home AS at_home", "pmod(h, cols) AS j",
+        "explode(sequence(0L, rows - 1)) AS i",
+    )
+    met = one.join(unsent(two), ["key", "i", "j"]).filter("root_a <> root_b AND (at_home OR a < b)").filter(near)
+    ends = met.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("link"))
+    out = materialize(ends.select("link.*"), "crossing")
+    discard(roots, members, unsettled)
+    return out
+
+
 def alike(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """Per row of :func:`located`: row, and first, the row struct that comes first among those alike, over links.
 
@@ -255,18 +297,22 @@ def alike(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     made = named.mapInArrow(_wide, f"row {named.schema['row'].dataType.simpleString()}, fp array<long>")
     rows = materialize(made.withColumn("id", F.xxhash64("fp")), "fingerprints")
     firsts = materialize(rows.groupBy("id").agg(F.min("row").alias("first"), F.min("fp").alias("fp")), "prints")
+    n = firsts.count()
     links_ = alike_links(firsts.select("id", "fp"), similarity)
     roots = components(links_)
     discard(links_)
-    rooted = firsts.join(roots, firsts["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    rooted = firsts.join(unsent(roots, n), firsts["id"] == roots["node"], "left")
+    rooted = rooted.select("id", "first", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = materialize(rooted.select("id", "root").join(least, "root").select("id", "first"), "components")
-    discard(firsts, roots)
-    return rows.select("row", "id").join(named, "id").select("row", "first")
+    if n > MOST_SENT:  # as in grouped()
+        least = materialize(least, "least")
+    named = materialize(rooted.select("id", "root").join(unsent(least, n), "root").select("id", "first"), "components")
+    discard(firsts, roots, least)
+    return rows.select("row", "id").join(unsent(named, n), "id").select("row", "first")
 
 
 def one_alike(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """Of each group of texts alike the row with the smallest doc_id, with the columns of docs."""
     rows = located(docs)
     gone = alike(rows, text, doc_id, similarity).filter(F.col("row") != F.col("first")).select("row.at")
-    return rows.join(gone, F.col("loc") == F.col("at"), "left_anti").select("doc.*")
+    return rows.join(unsent(gone), F.col("loc") == F.col("at"), "left_anti").select("doc.*")

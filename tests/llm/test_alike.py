@@ -93,6 +93,60 @@ def test_all_links_of_few_bits(spark, monkeypatch, most_keys):
     assert {p for p, n in far.items() if n <= 31} <= got <= {p for p, n in far.items() if n <= 77}
 
 
+def share_an_entry(a, b):
+    """Segments of a fingerprint: odd ones are indexed by all within a bit, even ones by themselves."""
+    for k in range(16):
+        x, y = a >> 32 * k & 0xFFFFFFFF, b >> 32 * k & 0xFFFFFFFF
+        if (x ^ y).bit_count() <= x.bit_count() % 2 + y.bit_count() % 2:
+            return True
+    return False
+
+
+@pytest.mark.parametrize(("crowd", "tile", "most_sent"), [(1, 3, 100_000), (16, 1024, 100_000), (16, 7, 0)])
+def test_components_of_large_entries(spark, monkeypatch, crowd, tile, most_sent):
+    """Many texts with one segment in common, alike by threes and by chains, and near no member drawn: no link is lost."""
+    from beaconlake.llm import common
+
+    for module in (common, simhash, graph):
+        monkeypatch.setattr(module, "MOST_SENT", most_sent)
+    rng = random.Random(11)
+
+    def spoilt(v, bits, keep):  # so many bits of each segment but one
+        return v ^ sum(1 << b for s in range(16) if s != keep for b in rng.sample(range(32 * s, 32 * s + 32), bits))
+
+    values = []
+    for even in (0, 5):  # the segment that all have in common
+        segment = 0b11011
+        for _ in range(20):
+            base = rng.getrandbits(512) & ~(0xFFFFFFFF << 32 * even) | segment << 32 * even
+            values += [base, spoilt(base, 4, even), spoilt(base, 5, even)]
+        for _ in range(30):  # a chain
+            values.append(spoilt(values[-1], 4, even))
+    base = rng.getrandbits(512)
+    values += [base ^ sum(1 << b for b in rng.sample(range(512), 20)) for _ in range(60)]  # a group of near copies
+    rows = []
+    for i, v in enumerate(values):
+        lanes = [v >> 64 * k & ALL for k in range(8)]
+        rows.append((i, [x - (1 << 64) if x >> 63 else x for x in lanes]))
+    got = simhash.alike_links(spark.createDataFrame(rows, "id long, fp array<long>"), crowd=crowd, tile=tile).collect()
+    assert all((values[a] ^ values[b]).bit_count() <= 77 for a, b in got)
+
+    def roots(links):
+        root = list(range(len(values)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in root]
+
+    want = [(i, j) for j, b in enumerate(values) for i, a in enumerate(values[:j]) if (a ^ b).bit_count() <= 77 and share_an_entry(a, b)]
+    assert roots(got) == roots(want)
+
+
 def test_recall_and_clean_documents(spark):
     """Copies of 0.8 and more against brute force. The border is soft: a few pairs under 0.7 are linked, too, none under 0.6."""
     rng = random.Random(8)
