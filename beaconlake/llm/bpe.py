@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import ship
+from beaconlake.llm.common import ship, slimmed
 
 #: Bytes on each side of a place that tell whether a token can cross it.
 REACH = 3
@@ -428,6 +428,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def forget_all() -> None:
+    """Drops what this worker's codecs remember of texts; the vocabularies stay."""
+    for known in _codecs.values():
+        known.forget()
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, first = 0, 0
@@ -458,4 +464,4 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(slimmed(run, forget_all), schema)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import MOST_SENT, discard, located, materialize, of, row_name, ship, unsent
+from beaconlake.llm.common import MOST_SENT, discard, located, materialize, of, row_name, ship, slimmed, unsent
 from beaconlake.llm.graph import components
 
 SHINGLE = 3
@@ -127,7 +127,7 @@ def fingerprinted(rows: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """Per row of :func:`located`: row (struct of unnamed, doc_id and at, its locator) and fp."""
     ship(rows.sparkSession)
     named = rows.select(row_name(doc_id).alias("row"), of(text).cast("binary").alias("text"))
-    return named.mapInArrow(_fingerprints, f"row {named.schema['row'].dataType.simpleString()}, fp long")
+    return named.mapInArrow(slimmed(_fingerprints), f"row {named.schema['row'].dataType.simpleString()}, fp long")
 
 
 def _entries(prints: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def alike(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     """
     ship(located_rows.sparkSession)
     named = located_rows.select(row_name(doc_id).alias("row"), of(text).cast("binary").alias("text"))
-    made = named.mapInArrow(_wide, f"row {named.schema['row'].dataType.simpleString()}, fp array<long>")
+    made = named.mapInArrow(slimmed(_wide), f"row {named.schema['row'].dataType.simpleString()}, fp array<long>")
     rows = materialize(made.withColumn("id", F.xxhash64("fp")), "fingerprints")
     firsts = materialize(rows.groupBy("id").agg(F.min("row").alias("first"), F.min("fp").alias("fp")), "prints")
     n = firsts.count()

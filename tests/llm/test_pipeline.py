@@ -78,3 +78,25 @@ def test_entry_without_the_corpus_operators():
 
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+def test_workers_are_slim_after_token_ids(spark):
+    """Python workers are used again by later stages: they remember no words, so that their memory doesn't add to that of others."""
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from beaconlake.llm import bpe
+
+    rows = [(i, " ".join(f"w{i}x{k * k}" for k in range(200))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encoded(docs, path, public.PATTERN).count() == 400
+
+    def remembered(batches):
+        from beaconlake.llm import bpe
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"codecs": [len(bpe._codecs)], "n": [sum(len(c.words) + len(c.pieces) + len(c.units) for c in bpe._codecs.values())]})
+
+    seen = spark.range(0, 8, 1, 8).mapInArrow(remembered, "codecs long, n long").collect()
+    assert any(r["codecs"] for r in seen) and all(r["n"] == 0 for r in seen)
