@@ -233,6 +233,27 @@ def _alike_entries(prints: DataFrame) -> DataFrame:
 
 def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD, tile: int = TILE) -> DataFrame:
     """Links (a, b) between ids of wide fingerprints (columns id and fp) that connect all that are alike and share an entry."""
+    first, roots, crossing = _linked(prints, similarity, crowd, tile)
+    return first if crossing is None else first.union(crossing.select("a", "b"))
+
+
+def alike_roots(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD, tile: int = TILE) -> DataFrame:
+    """One row per id that has a link of :func:`alike_links`: node, root."""
+    first, roots, crossing = _linked(prints, similarity, crowd, tile)
+    if crossing is None or not (n := crossing.count()):
+        discard(first, crossing)
+        return roots
+    later = components(crossing, "root_a", "root_b")
+    met = later.toDF("was", "now")
+    known = roots.union(met.select("was", "was")).distinct()  # an id without a first link is a root by itself
+    out = known.join(unsent(met, 2 * n), F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    out = materialize(out, "roots")
+    discard(first, roots, crossing, later)
+    return out
+
+
+def _linked(prints: DataFrame, similarity: float, crowd: int, tile: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links (a, b), their components, and if there are larger entries than crowd, the links of :func:`_crossing`."""
     n = prints.count()
     entries = _alike_entries(prints.repartition(n // PRINTS_A_TASK + 1, "id"))
     sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
@@ -245,9 +266,9 @@ def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int =
     pairs = a.join(unsent(b), "key").filter("a < b").filter(near).select("a", "b").distinct()
     n_many = sizes.filter(F.col("n") > crowd).count()
     if not n_many:
-        found = materialize(pairs, "links")
+        first = materialize(pairs, "links")
         discard(sizes, shared)
-        return found
+        return first, components(first), None
     many = shared.filter(F.col("n") > crowd)
     drawn = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("drawn"))
     drawn = materialize(drawn, "drawn")
@@ -255,17 +276,17 @@ def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int =
     to = to.filter("a <> b").distinct()
     heads = prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"))
     first = materialize(pairs.union(to.join(unsent(heads, n), "a").filter(near).select("a", "b")).distinct(), "links")
-    found = materialize(first.union(_crossing(many, first, near, n, tile)), "links")
-    discard(sizes, shared, drawn, first)
-    return found
+    roots = components(first)
+    crossing = _crossing(many, roots, near, n, tile)
+    discard(sizes, shared, drawn)
+    return first, roots, crossing
 
 
-def _crossing(many: DataFrame, linked: DataFrame, near: str, n: int, tile: int) -> DataFrame:
-    """The links that ``linked`` lacks in entries (key, id, fp): one for each two of its components that are alike in an entry.
+def _crossing(many: DataFrame, roots: DataFrame, near: str, n: int, tile: int) -> DataFrame:
+    """The links (root_a, root_b, a, b) that components lack in entries (key, id, fp): one for each two that are alike in an entry.
 
     All of an entry that are not of its most frequent component are compared with all of it, in tiles of about ``tile`` by ``tile``.
     """
-    roots = components(linked)
     rooted = many.join(unsent(roots, n), F.col("id") == F.col("node"), "left")
     members = materialize(rooted.select("key", "id", "fp", F.coalesce("root", "id").alias("root")), "members")
     sums = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
@@ -281,9 +302,10 @@ def _crossing(many: DataFrame, linked: DataFrame, near: str, n: int, tile: int)
         "explode(sequence(0L, rows - 1)) AS i",
     )
     met = one.join(unsent(two), ["key", "i", "j"]).filter("root_a <> root_b AND (at_home OR a < b)").filter(near)
-    ends = met.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("link"))
-    out = materialize(ends.select("link.*"), "crossing")
-    discard(roots, members, unsettled)
+    met = met.groupBy(F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"))
+    met = met.agg(F.min(F.struct("a", "b")).alias("link"))
+    out = materialize(met.select("root_a", "root_b", "link.*"), "crossing")
+    discard(members, unsettled)
     return out
 
 
@@ -298,9 +320,7 @@ def alike(located_rows: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     rows = materialize(made.withColumn("id", F.xxhash64("fp")), "fingerprints")
     firsts = materialize(rows.groupBy("id").agg(F.min("row").alias("first"), F.min("fp").alias("fp")), "prints")
     n = firsts.count()
-    links_ = alike_links(firsts.select("id", "fp"), similarity)
-    roots = components(links_)
-    discard(links_)
+    roots = alike_roots(firsts.select("id", "fp"), similarity)
     rooted = firsts.join(unsent(roots, n), firsts["id"] == roots["node"], "left")
     rooted = rooted.select("id", "first", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))

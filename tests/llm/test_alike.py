@@ -128,7 +128,8 @@ def test_components_of_large_entries(spark, monkeypatch, crowd, tile, most_sent)
     for i, v in enumerate(values):
         lanes = [v >> 64 * k & ALL for k in range(8)]
         rows.append((i, [x - (1 << 64) if x >> 63 else x for x in lanes]))
-    got = simhash.alike_links(spark.createDataFrame(rows, "id long, fp array<long>"), crowd=crowd, tile=tile).collect()
+    prints = spark.createDataFrame(rows, "id long, fp array<long>")
+    got = simhash.alike_links(prints, crowd=crowd, tile=tile).collect()
     assert all((values[a] ^ values[b]).bit_count() <= 77 for a, b in got)
 
     def roots(links):
@@ -145,6 +146,8 @@ def test_components_of_large_entries(spark, monkeypatch, crowd, tile, most_sent)
 
     want = [(i, j) for j, b in enumerate(values) for i, a in enumerate(values[:j]) if (a ^ b).bit_count() <= 77 and share_an_entry(a, b)]
     assert roots(got) == roots(want)
+    reached = {r["node"]: r["root"] for r in simhash.alike_roots(prints, crowd=crowd, tile=tile).collect()}
+    assert [reached.get(i, i) for i in range(len(values))] == roots(want)
 
 
 def test_recall_and_clean_documents(spark):
