@@ -21,11 +21,12 @@ fingerprints (one standard deviation of their count is 8 bits, or 0.04 of simila
 that differ in one bit are of different parity, so those of odd parity are indexed by all their variants
 and those of even parity by themselves; two odd ones that differ in two bits meet as well. Pairs
 that differ in up to 31 bits share an entry for certain, those beyond by chance; `tests/llm/test_alike.py`
-holds the recall against brute force. Pairs are made in entries of up to ``ALIKE_CROWD``; in a larger one, all are first
-compared with one member of its own, drawn by a hash of the entry. An entry whose members have come to one component by these
+holds the recall against brute force. In each entry all are first compared with its least member, two that meet in
+several entries once. An entry whose members have come to one component by these
 links, over any entries, is settled. Of any other, all members outside its most frequent component are compared
-with all members of other components, so both ways lose no link between components and ``crowd`` changes the cost alone (a property test holds
-them against brute force). A large group of near copies costs its size; an entry of many texts that are not alike costs their square,
+with all members of other components, so no link between components is lost, and making all pairs in entries of up to ``crowd``
+changes the cost alone (a property test holds
+them against brute force). A group of near copies of any size costs its size; an entry of many texts that are not alike costs their square,
 spread over tiles.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and are linked
@@ -57,9 +58,9 @@ _BLOCK = 1 << 16
 ALIKE_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_BITS = 512
-#: Pairs are made within an index entry of so many wide fingerprints at most.
-ALIKE_CROWD = 16
-#: Members of a larger one that are not linked otherwise are compared in tiles of so many by so many.
+#: Of two wide fingerprints in an index entry the link to the least is all there is to it.
+PAIR = 2
+#: Members of a larger entry that are not linked otherwise are compared in tiles of so many by so many.
 TILE = 1024
 #: A task makes the some 270 index entries each of so many wide fingerprints.
 PRINTS_A_TASK = 4096
@@ -231,13 +232,13 @@ def _alike_entries(prints: DataFrame) -> DataFrame:
     return keys.select("id", F.expr("part | shiftleft(cast(side AS BIGINT), 32)").alias("key"))
 
 
-def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD, tile: int = TILE) -> DataFrame:
+def alike_links(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = PAIR, tile: int = TILE) -> DataFrame:
     """Links (a, b) between ids of wide fingerprints (columns id and fp) that connect all that are alike and share an entry."""
     first, roots, crossing = _linked(prints, similarity, crowd, tile)
     return first if crossing is None else first.union(crossing.select("a", "b"))
 
 
-def alike_roots(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = ALIKE_CROWD, tile: int = TILE) -> DataFrame:
+def alike_roots(prints: DataFrame, similarity: float = SIMILARITY, crowd: int = PAIR, tile: int = TILE) -> DataFrame:
     """One row per id that has a link of :func:`alike_links`: node, root."""
     first, roots, crossing = _linked(prints, similarity, crowd, tile)
     if crossing is None or not (n := crossing.count()):
@@ -253,47 +254,47 @@ def alike_roots(prints: DataFrame, similarity: float = SIMILARITY, crowd: int =
 
 
 def _linked(prints: DataFrame, similarity: float, crowd: int, tile: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Links (a, b), their components, and if there are larger entries than crowd, the links of :func:`_crossing`."""
+    """Links (a, b), their components, and if there are entries of more than two and than crowd, the links of :func:`_crossing`.
+
+    All are compared with the least of each of their entries, and in entries of up to crowd with each other.
+    """
     n = prints.count()
     entries = _alike_entries(prints.repartition(n // PRINTS_A_TASK + 1, "id"))
-    sizes = materialize(entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    sizes = materialize(sizes.filter("n > 1"), "keys")
     known = F.broadcast(sizes) if sizes.count() <= MOST_KEYS else unsent(sizes)
-    shared = materialize(entries.join(known, "key").join(unsent(prints, n), "id"), "entries")
+    shared = materialize(entries.join(known, "key"), "entries")
     near = f"{_differing('fp_a', 'fp_b')} <= {most_bits(similarity)}"
-    few = shared.filter(F.col("n") <= crowd)
-    a = few.select("key", F.col("id").alias("a"), F.col("fp").alias("fp_a"))
-    b = few.select("key", F.col("id").alias("b"), F.col("fp").alias("fp_b"))
-    pairs = a.join(unsent(b), "key").filter("a < b").filter(near).select("a", "b").distinct()
-    n_many = sizes.filter(F.col("n") > crowd).count()
-    if not n_many:
-        first = materialize(pairs, "links")
-        discard(sizes, shared)
-        return first, components(first), None
-    many = shared.filter(F.col("n") > crowd)
-    drawn = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("drawn"))
-    drawn = materialize(drawn, "drawn")
-    to = many.join(unsent(drawn, n_many), "key").select(F.col("drawn.id").alias("a"), F.col("id").alias("b"), F.col("fp").alias("fp_b"))
-    to = to.filter("a <> b").distinct()
-    heads = prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"))
-    first = materialize(pairs.union(to.join(unsent(heads, n), "a").filter(near).select("a", "b")).distinct(), "links")
+    met = shared.filter("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    if crowd > PAIR:
+        few = shared.filter(F.col("n") <= crowd)
+        one, two = (few.select("key", F.col("id").alias(name)) for name in ("a", "b"))
+        met = met.union(one.join(unsent(two), "key").filter("a < b").select("a", "b"))
+    met = met.distinct()
+    for name in ("a", "b"):
+        met = met.join(unsent(prints.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}")), n), name)
+    first = materialize(met.filter(near).select("a", "b"), "links")
     roots = components(first)
-    crossing = _crossing(many, roots, near, n, tile)
-    discard(sizes, shared, drawn)
+    crossing = None
+    if sizes.filter(F.col("n") > max(crowd, PAIR)).count():
+        crossing = _crossing(shared.filter(F.col("n") > max(crowd, PAIR)).select("key", "id"), prints, roots, near, n, tile)
+    discard(sizes, shared)
     return first, roots, crossing
 
 
-def _crossing(many: DataFrame, roots: DataFrame, near: str, n: int, tile: int) -> DataFrame:
-    """The links (root_a, root_b, a, b) that components lack in entries (key, id, fp): one for each two that are alike in an entry.
+def _crossing(many: DataFrame, prints: DataFrame, roots: DataFrame, near: str, n: int, tile: int) -> DataFrame:
+    """The links (root_a, root_b, a, b) that components lack in entries (key, id): one for each two that are alike in an entry.
 
     All of an entry that are not of its most frequent component are compared with all of it, in tiles of about ``tile`` by ``tile``.
     """
     rooted = many.join(unsent(roots, n), F.col("id") == F.col("node"), "left")
-    members = materialize(rooted.select("key", "id", "fp", F.coalesce("root", "id").alias("root")), "members")
+    members = materialize(rooted.select("key", "id", F.coalesce("root", "id").alias("root")), "members")
     sums = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
     sums = sums.agg(F.max(F.struct("n", "root")).alias("home"), F.sum("n").alias("n")).filter("home.n < n")
     blocks = [F.ceil(F.expr(f"({size}) / {tile}")).alias(name) for size, name in (("n - home.n", "rows"), ("n", "cols"))]
     unsettled = materialize(sums.select("key", F.col("home.root").alias("home"), *blocks), "unsettled")
-    dealt = members.join(unsent(unsettled, unsettled.count()), "key").withColumn("h", F.xxhash64("id"))
+    dealt = members.join(unsent(unsettled, unsettled.count()), "key").join(unsent(prints, n), "id")
+    dealt = dealt.withColumn("h", F.xxhash64("id"))
     one = dealt.filter("root <> home").selectExpr(
         "key", "id AS a", "fp AS fp_a", "root AS root_a", "pmod(h, rows) AS i", "explode(sequence(0L, cols - 1)) AS j"
     )

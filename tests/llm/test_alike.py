@@ -150,6 +150,19 @@ def test_components_of_large_entries(spark, monkeypatch, crowd, tile, most_sent)
     assert [reached.get(i, i) for i in range(len(values))] == roots(want)
 
 
+def test_links_grow_with_a_group_not_with_its_square(spark):
+    """16 alike that share 15 segments: a link to the least for each, made once, where there were all 120 pairs."""
+    rng = random.Random(12)
+    rows = []
+    for size in (2, 3, 8, 16, 17):
+        base = rng.getrandbits(480) << 32
+        for i in range(size):
+            lanes = [(base | 0b11 << 2 * i) >> 64 * k & ALL for k in range(8)]
+            rows.append((100 * size + i, [x - (1 << 64) if x >> 63 else x for x in lanes]))
+    links = simhash.alike_links(spark.createDataFrame(rows, "id long, fp array<long>")).collect()
+    assert sorted(map(tuple, links)) == [(100 * size, 100 * size + i) for size in (2, 3, 8, 16, 17) for i in range(1, size)]
+
+
 def test_recall_and_clean_documents(spark):
     """Copies of 0.8 and more against brute force. The border is soft: a few pairs under 0.7 are linked, too, none under 0.6."""
     rng = random.Random(8)
