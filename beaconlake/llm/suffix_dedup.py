@@ -27,7 +27,7 @@ Entries that agree only in part are settled window by window: the common prefixe
 occur twice, equal ones meet by hash among these, and bytes decide.
 
 The covered ranges go to their documents by (doc_id, hash of the text), and the rest of each text is
-put together there. All exchanges are of packed runs, a row a run.
+put together there. All exchanges are of packed runs, a row a run. The runs are deleted before the texts are sent.
 
 Defined cases: a null text is an empty one; texts of less than SPAN bytes keep all; a null doc_id counts
 as greater than any other, and null ones, like equal doc_ids, are not smaller than each other; rows that
@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconlake.llm.common import discard, materialize, ship
+from beaconlake.llm.common import discard, freed, materialize, ship
 
 SPAN, GRAM = 50, 14
 GRAMS = SPAN - GRAM + 1
@@ -628,7 +628,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: in
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    splitters, frequent = plan_ranges(rows, share)
+    with freed(spark):
+        splitters, frequent = plan_ranges(rows, share)
     parts = len(splitters) + 1
     buckets = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))) | 1
 
@@ -639,7 +640,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: in
         return _reduce_runs(table, buckets)
 
     sent = rows.mapInArrow(runs, "part int, run binary")
-    found = materialize(sent.groupBy("part").applyInArrow(reduce, "bucket int, found binary"), "repeats")
+    with freed(spark):
+        found = materialize(sent.groupBy("part").applyInArrow(reduce, "bucket int, found binary"), "repeats")
     name = rows.withColumn("x", F.expr(f"coalesce(doc_id, {NO_ID}L) ^ xxhash64(coalesce(text, cast('' as binary)))"))
     named = name.select("doc_id", "text", F.expr(BUCKET.format(x="x", n=buckets)).alias("bucket"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

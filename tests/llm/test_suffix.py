@@ -169,6 +169,27 @@ def test_frequent_grams_go_as_windows(spark, monkeypatch):
     assert sorted(got) == sorted(by_hand([(i, t.encode()) for i, t in rows]))
 
 
+def test_runs_are_gone_before_texts_are_sent(spark):
+    """What the runs' exchange wrote must not lie beside that of the texts."""
+    import glob
+    import time
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+    rows = [(i, f"{i % 7} is the number of this text, and it has some more words than fifty bytes hold.") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(key)
+    out = x.dedup(df)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(key) == was
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()]
+    assert sorted(got) == sorted(by_hand([(i, t.encode()) for i, t in rows]))
+
+
 def test_query(spark, sf):
     from beaconlake.llm import queries
 
