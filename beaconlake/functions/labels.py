@@ -256,3 +256,9 @@ def expression(scope: str, name: str) -> Column:
         return F.lit(None).cast("string")
     found = [attribute(OWN[scope], k) for k in at.keys]
     return F.coalesce(*(map(whole, found) if at.kind == "number" else found))
+
+
+def columns(scope: str, name: str) -> set[str]:
+    """The columns that the label's value is read from."""
+    at = place(scope, name)
+    return set({"resource": ("resource_attributes",), "own": (OWN[scope],), "number": (OWN[scope],)}.get(at.kind, at.keys))

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from beaconlake.functions import labels
 from beaconlake.operators import compile as compiled
 from beaconlake.operators import discovery, health, rollup
 from beaconlake.plans import logql, promql, schema, traceql
@@ -185,6 +186,42 @@ def test_rollup_serves_discovery(spark):
     assert d.log_label_values("trace_id", W) == []
 
 
+ODD = [
+    None, "", "{}", "no json", "[1]", '{"deployment.environment":"e","http.route":"/a","http.method":"GET","http.status_code":"200"}',
+    '{"deployment.environment":"e","http.route":"/a","http.method":"GET"', '{"http.route":"/a","http.route":"/b","deployment.environment":null,"deployment.environment":"f"}',
+    '{"http.route":{"a":[1]},"http.request.method":"","http.method":"PUT","http.response.status_code":404.5,"host.name":"h"}',
+    '{"http\\u002eroute":"/\\u00e9","rpc.service":1e3,"exception.type":"\\ud800","k8s.deployment.name":true} rest',
+]
+
+
+@pytest.mark.parametrize("signal", schema.SIGNALS)
+def test_rollup_counts_texts_before_it_reads_them(signal, spark):
+    scope, at = rollup.SCOPE[signal], schema.EVENT_TIME[signal]
+    rows = [
+        {at: when, "service_name": s, "name": s, "status_code": n, "severity_text": s, "unit": s, "resource_attributes": r, labels.OWN[scope]: ODD[-1 - i]}
+        for i, r in enumerate(ODD) for n, (s, when) in enumerate([("a", T0), ("", T0 + timedelta(days=1)), (None, None), ("a", T0 + timedelta(seconds=1))])
+    ]
+    columns = schema.SCHEMAS[signal].names
+    df = frame(spark, signal, [{k: v for k, v in {**dict.fromkeys([at]), **r}.items() if k in columns} for r in rows])
+    got = rollup.summarise(signal, df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "get_json_object" in plan and "get_json_object" not in plan[plan.rindex("HashAggregate"):]
+
+    def seen(of, *values):
+        return of.groupBy(F.to_date(at), *values).agg(F.count("*"), F.min(at), F.max(at)).collect()
+
+    key = lambda r: str(tuple(r))
+    have = got.filter("kind in ('label_value', 'tag_value') and name <> '__name__'").select("name", "event_date", "value", "row_count", "first_seen", "last_seen").collect()
+    want = [(n, *r) for n, label in labels.listed(scope) for r in seen(df.filter(labels.expression(scope, label).cast("string") != ""), labels.expression(scope, label).cast("string"))]
+    assert sorted(map(key, have)) == sorted(map(key, want)) and len(have) > 4
+    env = labels.expression(scope, "deployment_environment").alias("env")
+    shared = {schema.LOGS: ["service_name", "severity_text"], schema.SPANS: None}.get(signal, ["name", "service_name"])
+    have = got.filter("kind = 'series'").select("event_date", *(shared or []), "deployment_environment", "row_count", "first_seen", "last_seen").collect()
+    assert sorted(map(key, have)) == sorted(map(key, seen(df, *shared, env) if shared else []))
+    have = got.filter("kind = 'metric_metadata' or name = '__name__'").groupBy("kind").agg(F.sum("row_count")).collect()
+    assert dict(map(tuple, have)) == ({"metric_metadata": 40, "label_value": 20} if scope == labels.METRICS else {})
+
+
 def test_cache():
     cache = discovery.Cache()
     made = []
